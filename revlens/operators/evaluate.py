@@ -34,112 +34,106 @@ def confusion_matrix(predictions: DataFrame, *keys: str) -> DataFrame:
     ))
 
 
-def _by_score(predictions: DataFrame, *keys: str) -> DataFrame:
-    """Distinct scores per group with their positives and negatives."""
-    return predictions.groupBy(*keys, "score").agg(
-        F.count_if(F.col("label") == 1).alias("pos"),
-        F.count_if(F.col("label") == 0).alias("neg"),
-    )
+def score_table(predictions: DataFrame, *keys: str) -> DataFrame:
+    """Distinct scores per group with their confusion cells. All metrics follow
+    from it, so the predictions are read once."""
+    return predictions.groupBy(*keys, "score").agg(*R.count_cells())
+
+
+def _positives() -> Column:
+    return F.col("tp") + F.col("fn")
+
 
+def _negatives() -> Column:
+    return F.col("tn") + F.col("fp")
 
-def _ranged(by_score: DataFrame, keys: tuple[str, ...], ranges: int) -> DataFrame:
+
+def _ranged(scores: DataFrame, keys: tuple[str, ...], ranges: int) -> DataFrame:
     """Add ``range``: the number of cut points below the score.
 
     A group with 10^10 distinct scores must not be sorted by one task. Cut
     points from approximate quantiles give ranges of similar size; the results
-    are exact whatever the cut points are.
+    are exact whatever the cut points are. Missing scores are in range 0.
     """
-    usable = by_score.where(~_unusable())
     steps = [i / ranges for i in range(1, ranges)]
     # One row per group, with `ranges` numbers.
-    cuts = usable.groupBy(*keys).agg(
-        F.percentile_approx("score", steps, F.lit(1000)).alias("cuts")
+    cuts = (
+        scores.where(~_unusable())
+        .groupBy(*keys)
+        .agg(F.percentile_approx("score", steps, F.lit(1000)).alias("cuts"))
     )
-    below = F.size(F.filter("cuts", lambda c: c < F.col("score")))
+    below = F.when(~_unusable(), F.size(F.filter("cuts", lambda c: c < F.col("score"))))
     return (
-        usable.join(F.broadcast(cuts), list(keys))
-        .withColumn("range", below)
+        scores.join(F.broadcast(cuts), list(keys), "left")
+        .withColumn("range", F.coalesce(below, F.lit(0)))
         .drop("cuts")
     )
 
 
-def roc_auc(by_score: DataFrame, keys: tuple[str, ...], ranges: int = SCORE_RANGES) -> DataFrame:
-    """Area under the ROC curve per group, from ``_by_score`` rows.
+def metrics_of(scores: DataFrame, *keys: str, ranges: int = SCORE_RANGES) -> DataFrame:
+    """One row per group: n, accuracy, precision, recall, f1, roc_auc.
 
-    Every positive counts the negatives below it and half of those tied with
-    it: inside its range by a running sum, and all of the lower ranges at once.
-    NULL where a class is missing or any score is.
+    For the AUC every positive counts the negatives below it and half of those
+    tied with it: inside its range by a running sum, and all of the lower ranges
+    at once. It is NULL where a class is missing or any score is.
     """
-    ranged = _ranged(by_score, keys, ranges)
     inside = Window.partitionBy(*keys, "range").orderBy("score")
-    below = F.coalesce(
-        F.sum("neg").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    wins = F.col("pos").cast("double") * (F.col("_below") + F.col("neg") / 2.0)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    wins = _positives().cast("double") * (F.col("_below") + _negatives() / 2.0)
     per_range = (
-        ranged.withColumn("_below", below)
+        _ranged(scores, keys, ranges)
+        .withColumn("_below", F.coalesce(F.sum(_negatives()).over(before), F.lit(0)))
         .groupBy(*keys, "range")
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(wins).alias("wins"))
+        .agg(
+            *[F.sum(c).alias(c) for c in R.CELLS],
+            F.sum(wins).alias("wins"),
+            F.count_if(_unusable()).alias("gaps"),
+        )
     )
     # At most `ranges` rows per group from here on.
     lower = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    per_range = per_range.withColumn("_lower", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
-    total = F.sum(F.col("wins") + F.col("pos").cast("double") * F.col("_lower"))
-    pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return per_range.groupBy(*keys).agg(F.try_divide(total, pairs).alias("roc_auc"))
-
-
-def metrics(predictions: DataFrame, *keys: str) -> DataFrame:
-    """One row per group: n, accuracy, precision, recall, f1, roc_auc."""
-    return _metrics(
-        predictions.groupBy(*keys).agg(*R.count_cells(), F.count_if(_unusable()).alias("gaps")),
-        _by_score(predictions, *keys),
-        keys,
+    all_wins = F.col("wins") + _positives().cast("double") * F.coalesce(F.col("_lower"), F.lit(0))
+    pairs = F.expr("CAST(tp + fn AS DOUBLE) * (tn + fp)")
+    return (
+        per_range.withColumn("_lower", F.sum(_negatives()).over(lower))
+        .groupBy(*keys)
+        .agg(
+            *[F.sum(c).alias(c) for c in R.CELLS],
+            F.sum(all_wins).alias("wins"),
+            F.sum("gaps").alias("gaps"),
+        )
+        .select(
+            *keys,
+            reduce(lambda a, b: a + b, map(F.col, R.CELLS)).alias("n"),
+            R.accuracy().alias("accuracy"),
+            R.precision().alias("precision"),
+            R.recall().alias("recall"),
+            R.f1().alias("f1"),
+            F.when(F.col("gaps") == 0, F.try_divide(F.col("wins"), pairs)).alias("roc_auc"),
+        )
     )
 
 
-def _metrics(cells: DataFrame, by_score: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    # One row per group on both sides.
-    area = roc_auc(by_score, keys)
-    return cells.join(area, list(keys), "left").select(
-        *keys,
-        reduce(lambda a, b: a + b, map(F.col, R.CELLS)).alias("n"),
-        R.accuracy().alias("accuracy"),
-        R.precision().alias("precision"),
-        R.recall().alias("recall"),
-        R.f1().alias("f1"),
-        F.when(F.col("gaps") == 0, F.col("roc_auc")).alias("roc_auc"),
-    )
+def metrics(predictions: DataFrame, *keys: str, scratch: Scratch) -> DataFrame:
+    return metrics_of(scratch.table(score_table(predictions, *keys), "scores"), *keys)
 
 
-def fold_and_pooled_metrics(predictions: DataFrame, *keys: str) -> DataFrame:
+def fold_and_pooled_metrics(predictions: DataFrame, *keys: str, scratch: Scratch) -> DataFrame:
     """Metrics per (keys, fold) and over all folds together (``fold`` NULL).
 
     Both levels come from rows already combined by fold, so the second level
     adds no pass over the predictions. The pooled AUC ranks all scores of the
     candidate together; it is not the mean of the fold values.
     """
-    levels = predictions.withColumn("fold", F.col("fold").cast("int"))
-    cells = levels.groupBy(*keys, "fold").agg(
-        *R.count_cells(), F.count_if(_unusable()).alias("gaps")
-    )
-    both = [[*keys, "fold"], [*keys]]
-    # Fold 0 stands for all folds until the end, since NULL does not join.
-    all_cells = [F.sum(c).alias(c) for c in (*R.CELLS, "gaps")]
-    cells = (
-        cells.groupingSets([[F.col(c) for c in s] for s in both], *keys, "fold")
-        .agg(*all_cells)
+    per_fold = score_table(predictions.withColumn("fold", F.col("fold").cast("int")), *keys, "fold")
+    levels = [[*keys, "fold", "score"], [*keys, "score"]]
+    both = (
+        per_fold.groupingSets([[F.col(c) for c in level] for level in levels], *levels[0])
+        .agg(*[F.sum(c).alias(c) for c in R.CELLS])
+        # Fold 0 stands for all folds until the end, since NULL does not join.
         .withColumn("fold", F.coalesce("fold", F.lit(0)))
     )
-    scores = _by_score(levels, *keys, "fold")
-    scores = (
-        scores.groupingSets(
-            [[*map(F.col, s), F.col("score")] for s in both], *keys, "fold", "score"
-        )
-        .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-        .withColumn("fold", F.coalesce("fold", F.lit(0)))
-    )
-    return _metrics(cells, scores, (*keys, "fold")).withColumn(
+    return metrics_of(scratch.table(both, "scores"), *keys, "fold").withColumn(
         "fold", F.when(F.col("fold") > 0, F.col("fold"))
     )
 
@@ -152,75 +146,73 @@ def roc_points(
     ranges: int = SCORE_RANGES,
 ) -> DataFrame:
     """(keys, threshold, fpr, tpr): one point per distinct score, and the start
-    point with an infinite threshold. Only groups with both classes have a curve.
+    point with an infinite threshold. Only groups with both classes and all
+    scores have a curve.
 
     ``drop_collinear`` leaves out the points in the middle of a straight line,
     as the reference chart does.
     """
     keys = tuple(keys)
-    gaps = (
-        predictions.groupBy(*keys)
-        .agg(
-            F.count_if(_unusable()).alias("gaps"),
-            F.count_if(F.col("label") == 1).alias("all_pos"),
-            F.count_if(F.col("label") == 0).alias("all_neg"),
-        )
-        .where("gaps = 0 AND all_pos > 0 AND all_neg > 0")
-        .drop("gaps")
-    )
+    scores = scratch.table(score_table(predictions, *keys), "scores")
     # Written, because the offsets below and the points must see the same cuts.
-    ranged = scratch.table(_ranged(_by_score(predictions, *keys), keys, ranges), "score-ranges")
-    higher = (
+    ranged = scratch.table(_ranged(scores, keys, ranges), "score-ranges")
+    above = (
         Window.partitionBy(*keys)
         .orderBy(F.desc("range"))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     following = Window.partitionBy(*keys).orderBy(F.desc("range"))
-    # At most `ranges` rows per group.
+    group = Window.partitionBy(*keys)
+    # At most `ranges` rows per group, here and in the two broadcasts.
     offsets = (
         ranged.groupBy(*keys, "range")
         .agg(
-            F.sum("pos").alias("_pos"),
-            F.sum("neg").alias("_neg"),
-            F.max_by(F.struct("pos", "neg"), "score").alias("_top"),
+            F.sum(_positives()).alias("_pos"),
+            F.sum(_negatives()).alias("_neg"),
+            F.max_by(F.struct(_positives().alias("pos"), _negatives().alias("neg")), "score").alias("_top"),
+            F.count_if(_unusable()).alias("_gaps"),
         )
         .select(
             *keys,
             "range",
-            F.coalesce(F.sum("_pos").over(higher), F.lit(0)).alias("pos_above"),
-            F.coalesce(F.sum("_neg").over(higher), F.lit(0)).alias("neg_above"),
+            F.coalesce(F.sum("_pos").over(above), F.lit(0)).alias("pos_above"),
+            F.coalesce(F.sum("_neg").over(above), F.lit(0)).alias("neg_above"),
             F.lead("_top").over(following).alias("next_top"),
+            F.sum("_pos").over(group).alias("all_pos"),
+            F.sum("_neg").over(group).alias("all_neg"),
+            F.sum("_gaps").over(group).alias("_gaps"),
         )
-        .join(F.broadcast(gaps), list(keys))
+        .where("_gaps = 0 AND all_pos > 0 AND all_neg > 0")
+        .drop("_gaps")
     )
     inside = Window.partitionBy(*keys, "range").orderBy(F.desc("score"))
     running = inside.rowsBetween(Window.unboundedPreceding, 0)
+    step = F.struct(_positives().alias("pos"), _negatives().alias("neg"))
     points = (
-        ranged.withColumn("_tp", F.sum("pos").over(running))
-        .withColumn("_fp", F.sum("neg").over(running))
-        .withColumn("_next", F.lead(F.struct("pos", "neg")).over(inside))
-        # Groups x ranges rows.
+        ranged.withColumn("_tp", F.sum(_positives()).over(running))
+        .withColumn("_fp", F.sum(_negatives()).over(running))
+        .withColumn("_step", step)
+        .withColumn("_next", F.lead("_step").over(inside))
         .join(F.broadcast(offsets), [*keys, "range"])
-        .withColumn("tp", F.col("pos_above") + F.col("_tp"))
-        .withColumn("fp", F.col("neg_above") + F.col("_fp"))
+        .withColumn("above_tp", F.col("pos_above") + F.col("_tp"))
+        .withColumn("above_fp", F.col("neg_above") + F.col("_fp"))
     )
     if drop_collinear:
-        step = F.struct("pos", "neg")
         after = F.coalesce("_next", "next_top")
-        is_first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
-        points = points.where(is_first | after.isNull() | (after != step))
+        is_first = (F.col("above_tp") == _positives()) & (F.col("above_fp") == _negatives())
+        points = points.where(is_first | after.isNull() | (after != F.col("_step")))
     curve = points.select(
         *keys,
         F.col("score").alias("threshold"),
-        (F.col("fp") / F.col("all_neg")).alias("fpr"),
-        (F.col("tp") / F.col("all_pos")).alias("tpr"),
+        (F.col("above_fp") / F.col("all_neg")).alias("fpr"),
+        (F.col("above_tp") / F.col("all_pos")).alias("tpr"),
     )
-    start = gaps.select(
+    start = offsets.select(
         *keys,
         F.lit(float("inf")).alias("threshold"),
         F.lit(0.0).alias("fpr"),
         F.lit(0.0).alias("tpr"),
-    )
+    ).distinct()
     return curve.unionByName(start)
 
 
@@ -280,7 +272,8 @@ def report_documents(report: DataFrame, *keys: str, digits: int | None = None) -
     grouped = report.groupBy(*keys).agg(
         *[accuracy if name == "accuracy" else section(name) for name in sections]
     )
-    return grouped.select(*keys, F.to_json(F.struct(*[F.col(f"`{s}`") for s in sections])).alias("report"))
+    document = F.to_json(F.struct(*[F.col(f"`{name}`") for name in sections]))
+    return grouped.select(*keys, document.alias("report"))
 
 
 def rank_candidates(

@@ -36,8 +36,9 @@ class ReviewTokens(_Stage):
     minLen = Param(Params._dummy(), "minLen", "shortest token", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCol="text", outputCol="terms", pairs=False, minLen=2):
+    def __init__(self, *, inputCol=None, outputCol=None, pairs=None, minLen=None):
         super().__init__()
+        self._setDefault(inputCol="text", outputCol="terms", pairs=False, minLen=2)
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -90,9 +91,10 @@ class SublinearTfidf(_Stage):
     idf = Param(Params._dummy(), "idf", "idf by index", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, *, inputCol="counts", outputCol="features", idf=None):
+    def __init__(self, *, inputCol=None, outputCol=None, idf=None):
         super().__init__()
-        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+        self._setDefault(inputCol="counts", outputCol="features")
+        self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         weigh = _weigh_counts(self.getOrDefault(self.idf))
@@ -104,9 +106,9 @@ def tfidf_stages(vocab: list[str], idf: list[float]) -> list[Transformer]:
     shuffle, whatever the number of documents."""
     counts = CountVectorizerModel.from_vocabulary(vocab, inputCol="terms", outputCol="counts")
     return [
-        ReviewTokens(inputCol="text", outputCol="terms", pairs=True),
+        ReviewTokens(pairs=True),
         counts,
-        SublinearTfidf(inputCol="counts", outputCol="features", idf=idf),
+        SublinearTfidf(idf=idf),
     ]
 
 
@@ -159,10 +161,11 @@ class KnownMean(_Stage):
     knownCol = Param(Params._dummy(), "knownCol", "known-word counts", TypeConverters.toString)
 
     @keyword_only
-    def __init__(
-        self, *, inputCol="mean_all", outputCol="features", tokensCol="terms", knownCol="known"
-    ):
+    def __init__(self, *, inputCol=None, outputCol=None, tokensCol=None, knownCol=None):
         super().__init__()
+        self._setDefault(
+            inputCol="mean_all", outputCol="features", tokensCol="terms", knownCol="known"
+        )
         self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -191,7 +194,7 @@ class ReviewVectors(Estimator):
 
     def _fit(self, docs: DataFrame) -> PipelineModel:
         o = self.options
-        split = ReviewTokens(inputCol="text", outputCol="terms")
+        split = ReviewTokens()
         sentences = split.transform(docs.select("text")).select("terms")
         trainer = Word2Vec(
             vectorSize=o.vector_size,

@@ -19,7 +19,9 @@ def _counted_terms(docs: DataFrame, *keys: str) -> DataFrame:
     the term then gives both frequencies, without a count per document first."""
     both = F.array(
         F.struct(F.lit(1).alias("tf"), F.lit(0).alias("df"), F.col("terms").alias("terms")),
-        F.struct(F.lit(0).alias("tf"), F.lit(1).alias("df"), F.array_distinct("terms")),
+        F.struct(
+            F.lit(0).alias("tf"), F.lit(1).alias("df"), F.array_distinct("terms").alias("terms")
+        ),
     )
     rows = docs.select(*keys, F.inline(both))
     return rows.select(*keys, "tf", "df", F.explode("terms").alias("term"))

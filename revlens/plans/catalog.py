@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from revlens.functions import rates as R
 from revlens.functions import text as X
 from revlens.functions import vectors as V
 from revlens.operators import crossval as CV
@@ -88,7 +89,12 @@ def bad_text(i: Inputs) -> DataFrame:
 def label_codes(i: Inputs) -> DataFrame:
     rows = i.raw.select("row_id", X.normalize_label(F.col("sentimen")).alias("label_name"))
     rows = rows.withColumn("label", X.label_code(F.col("label_name")))
-    return rows.withColumn("decoded", X.label_title(F.col("label")))
+    return rows.select(
+        "row_id",
+        "label_name",
+        F.coalesce("label", F.lit(-1)).alias("label"),
+        X.label_title(F.col("label")).alias("decoded"),
+    )
 
 
 def stopword_hits(i: Inputs) -> DataFrame:
@@ -242,15 +248,15 @@ def meaningful_terms(i: Inputs) -> DataFrame:
 
 
 def folds(i: Inputs) -> DataFrame:
-    return i.folds
+    return i.folds()
 
 
 def fold_sizes(i: Inputs) -> DataFrame:
-    return i.folds.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
+    return i.folds().groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 def fold_train_rows(i: Inputs) -> DataFrame:
-    train, valid = S.fold_sides(i.folds, 3)
+    train, valid = S.fold_sides(i.folds(), 3)
     return CV.stack(
         [
             train.select("row_id", F.lit("train").alias("side")),
@@ -295,8 +301,6 @@ def confusion(i: Inputs) -> DataFrame:
 
 def binary_metrics(i: Inputs) -> DataFrame:
     cells = E.confusion_cells(i.scored, *CANDIDATE)
-    from revlens.functions import rates as R
-
     rates = {"accuracy": R.accuracy(), "precision": R.precision(), "recall": R.recall(), "f1": R.f1()}
     return cells.select(
         *CANDIDATE, *[F.round(value, 6).alias(name) for name, value in rates.items()]
@@ -304,7 +308,8 @@ def binary_metrics(i: Inputs) -> DataFrame:
 
 
 def roc_auc(i: Inputs) -> DataFrame:
-    return _rounded(E.metrics(i.scored, *CANDIDATE).select(*CANDIDATE, "n", "roc_auc"), "roc_auc")
+    found = E.metrics(i.scored, *CANDIDATE, scratch=i.scratch)
+    return _rounded(found.select(*CANDIDATE, "n", "roc_auc"), "roc_auc")
 
 
 def roc_points(i: Inputs) -> DataFrame:
@@ -327,11 +332,12 @@ def report_json(i: Inputs) -> DataFrame:
 
 
 def _both_levels(i: Inputs) -> DataFrame:
-    return E.fold_and_pooled_metrics(i.scored, *CANDIDATE)
+    return E.fold_and_pooled_metrics(i.scored, *CANDIDATE, scratch=i.scratch)
 
 
 def metrics_by_fold(i: Inputs) -> DataFrame:
-    return _rounded(_both_levels(i), *RATES)
+    """All folds together are shown as fold 0."""
+    return _rounded(_both_levels(i), *RATES).withColumn("fold", F.coalesce("fold", F.lit(0)))
 
 
 def _results(i: Inputs) -> DataFrame:
@@ -354,12 +360,13 @@ def best_candidate(i: Inputs) -> DataFrame:
 
 def best_metadata(i: Inputs) -> DataFrame:
     best = E.best_candidate(_rounded(_results(i), *RATES))
-    return best.select(F.to_json(F.struct(*best.columns)).alias("value"))
+    return best.select(writers.document(*best.columns).alias("value"))
 
 
 def stacked_folds(i: Inputs) -> DataFrame:
     """Per-fold tables of each candidate, stacked."""
-    per_fold = fold_results(_both_levels(i))
+    # Candidates x folds rows.
+    per_fold = i.scratch.table(fold_results(_both_levels(i)), "fold-metrics")
     frames = [per_fold.where(F.col("candidate_id") == c) for c, _, _ in FX.CANDIDATES]
     return _rounded(CV.stack(frames), *RATES)
 
@@ -390,7 +397,8 @@ def history_series(i: Inputs) -> DataFrame:
 
 
 def _run_log(i: Inputs) -> DataFrame:
-    results = _rounded(_results(i), *RATES)
+    # One row per candidate.
+    results = i.scratch.table(_rounded(_results(i), *RATES), "results")
     name = F.concat_ws("/", "feature", "model").alias("model_id")
     scored = results.where("roc_auc IS NOT NULL")
     done = scored.select(
@@ -585,8 +593,8 @@ def lr_top_words(i: Inputs) -> DataFrame:
 
 def cv_grid(i: Inputs) -> DataFrame:
     found = CV.compare(_training(i), SMALL, i.scratch)
-    results = pooled_results(E.fold_and_pooled_metrics(found.predictions, *CANDIDATE), SMALL.folds)
-    return _with_rank(E.rank_candidates(results))
+    metrics = E.fold_and_pooled_metrics(found.predictions, *CANDIDATE, scratch=i.scratch)
+    return _with_rank(E.rank_candidates(pooled_results(metrics, SMALL.folds)))
 
 
 def score_reviews(i: Inputs) -> DataFrame:

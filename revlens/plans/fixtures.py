@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlens.operators import prepare as P
@@ -53,8 +55,8 @@ def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 class Inputs:
     """The derived tables of one data folder in one application.
 
-    The prepared table is written once and read by column, as a user does: it
-    is prepared first and analysed many times.
+    The prepared table and the table of predictions are written once and read by
+    column, as in the jobs: they are made first and analysed many times.
     """
 
     _known: dict[tuple[str, str], Inputs] = {}
@@ -62,7 +64,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.scratch = Scratch(spark)
-        self._prepared: DataFrame | None = None
+        self._tables: dict[str, DataFrame] = {}
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Inputs:
@@ -78,19 +80,25 @@ class Inputs:
     def raw(self) -> DataFrame:
         return reviews_raw(self.spark, self.sf_dir)
 
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._tables:
+            self._tables[name] = self.scratch.table(make(), name)
+        return self._tables[name]
+
     @property
     def prepared(self) -> DataFrame:
-        if self._prepared is None:
-            self._prepared = self.scratch.table(P.prepare(self.raw, self.scratch), "prepared")
-        return self._prepared
+        return self._once("prepared", lambda: P.prepare(self.raw, self.scratch))
 
     @property
+    def scored(self) -> DataFrame:
+        """(row_id, label, fold, candidate_id, feature, model, score, prediction)"""
+        return self._once("scored", self._score)
+
     def folds(self) -> DataFrame:
         """(row_id, label, fold)"""
         return stratified_folds(self.prepared.select("row_id", "label"), FOLDS, SEED)
 
-    @property
-    def scored(self) -> DataFrame:
+    def _score(self) -> DataFrame:
         """Predictions of five candidates, by integer arithmetic."""
         candidates = F.array(
             *[
@@ -100,7 +108,7 @@ class Inputs:
                 for i, f, m in CANDIDATES
             ]
         )
-        rows = self.folds.select("row_id", "label", "fold", F.inline(candidates))
+        rows = self.folds().select("row_id", "label", "fold", F.inline(candidates))
         points = (F.col("row_id") * 37 + F.col("candidate_id") * 11) % 101 + 25 * F.col("label")
         value = points.cast("double") / F.lit(126).cast("double")
         return (

@@ -87,7 +87,7 @@ def compare(spark: SparkSession, cfg: CompareConfig) -> PipelineModel:
         partition_by=("feature", "model"),
     )
     # Candidates x (folds + 1) rows.
-    metrics = scratch.table(E.fold_and_pooled_metrics(oof, *keys), "metrics")
+    metrics = scratch.table(E.fold_and_pooled_metrics(oof, *keys, scratch=scratch), "metrics")
     ranked = E.rank_candidates(pooled_results(metrics, o.folds))
     writers.write_report(ranked, f"{cfg.out}/results")
     writers.write_report(fold_results(metrics).orderBy(*keys, "fold"), f"{cfg.out}/fold_metrics")
@@ -100,7 +100,7 @@ def compare(spark: SparkSession, cfg: CompareConfig) -> PipelineModel:
     model = CV.fit_final(rows, winner.feature, winner.model, o)
     save_model(model, f"{cfg.out}/best_model")
     writers.write_json(
-        best.select(F.to_json(F.struct("*")).alias("value")), f"{cfg.out}/best_metadata"
+        best.select(writers.document(*best.columns).alias("value")), f"{cfg.out}/best_metadata"
     )
     best_oof = oof.where(F.col("candidate_id") == winner.candidate_id)
     writers.write_report(E.confusion_matrix(best_oof, "candidate_id"), f"{cfg.out}/best_confusion")

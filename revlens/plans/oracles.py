@@ -394,7 +394,7 @@ def sql() -> dict[str, str]:
     code = "CASE label_name WHEN 'Negatif' THEN 0 WHEN 'Positif' THEN 1 END"
     out["label_codes"] = _with(
         (RAW, f"named AS (SELECT row_id, {_label('sentimen')} AS label_name FROM raw)"),
-        f"SELECT row_id, label_name, {code}::INTEGER AS label,"
+        f"SELECT row_id, label_name, coalesce({code}, -1)::INTEGER AS label,"
         f" {_title(code)} AS decoded FROM named",
     )
     out["stopword_hits"] = f"""SELECT term, count(*) AS n FROM (
@@ -533,7 +533,9 @@ def sql() -> dict[str, str]:
           'accuracy', max(f1_score) FILTER (class = 'accuracy'), {_section('macro avg')},
           {_section('weighted avg')})::VARCHAR AS report FROM report GROUP BY candidate_id""",
     )
-    out["metrics_by_fold"] = _with(METRICS, f"SELECT {_KEYS}, fold, n, {_ROUNDED} FROM metrics")
+    out["metrics_by_fold"] = _with(
+        METRICS, f"SELECT {_KEYS}, coalesce(fold, 0)::INTEGER AS fold, n, {_ROUNDED} FROM metrics"
+    )
     out["rank_candidates"] = _with(
         METRICS, f"SELECT {_KEYS}, folds, n, rank, {_ROUNDED} FROM results"
     )
@@ -568,11 +570,11 @@ def sql() -> dict[str, str]:
     out["run_log"] = _with(
         runs,
         f"""SELECT json_object(
-            'results', (SELECT json_group_array(json_object('model_id', model_id, 'slug', slug,
-               'test_metrics', json_object({_METRIC_PAIRS})) ORDER BY model_id)
+            'results', (SELECT to_json(list(json_object('model_id', model_id, 'slug', slug,
+               'test_metrics', json_object({_METRIC_PAIRS})) ORDER BY model_id))
                FROM runs WHERE roc_auc IS NOT NULL),
-            'failures', (SELECT json_group_array(json_object('model_id', model_id,
-               'error', 'no score') ORDER BY model_id) FROM runs WHERE roc_auc IS NULL)
+            'failures', (SELECT to_json(list(json_object('model_id', model_id,
+               'error', 'no score') ORDER BY model_id)) FROM runs WHERE roc_auc IS NULL)
           )::VARCHAR AS value""",
     )
     tests = ", ".join(f"{m} AS test_{m}" for m in _METRIC_NAMES)

@@ -61,4 +61,5 @@ def prediction_frame(scored: DataFrame, *keys: str) -> DataFrame:
 
 
 def document(*columns: str | Column) -> Column:
-    return F.to_json(F.struct(*columns))
+    """The columns as one JSON object; missing values are kept as null."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
