@@ -10,6 +10,9 @@ from pyspark.sql import Column, functions as F
 from revlens.settings import BAD_TEXTS, LABEL_CODES, NEUTRAL_LABEL, SPACE_CHARS, STOPWORDS, TOKEN_PATTERN
 
 _SPACE_RUN = f"[{SPACE_CHARS}]+"
+# What is left of them after NFKC. A regular expression tries every class member
+# on every letter, so the short list halves the time.
+_SPACE_RUN_NFKC = "[ \t-\r\x1c-\x1f\x85\u1680\u2028\u2029]+"
 _NON_SPACE = f"[^{SPACE_CHARS}]"
 _LONGEST_BAD_TEXT = max(map(len, BAD_TEXTS))
 
@@ -27,7 +30,7 @@ def nfkc(text: Column) -> Column:
 
 def normalize_text(text: Column) -> Column:
     """NULL becomes ``''``; NFKC; white-space runs become one space; trimmed."""
-    return F.trim(F.regexp_replace(nfkc(text), _SPACE_RUN, " "))
+    return F.trim(F.regexp_replace(nfkc(text), _SPACE_RUN_NFKC, " "))
 
 
 def normalize_name(name: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlens.operators import prepare as P
 from revlens.operators.split import stratified_folds
+from revlens.sources.readers import spread
 from revlens.sources.scratch import Scratch
 
 # For the given texts, which are in other languages than the default lists.
@@ -27,8 +28,12 @@ CANDIDATES = (
 )
 
 
+TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

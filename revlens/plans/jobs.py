@@ -42,7 +42,7 @@ class CompareConfig:
 
 def prepare(spark: SparkSession, cfg: PrepareConfig) -> DataFrame:
     """Write ``out/prepared`` and ``out/summary``; return the summary row."""
-    raw = readers.read_raw(spark, cfg.input, cfg.input_format)
+    raw = readers.spread(readers.read_raw(spark, cfg.input, cfg.input_format), "row_id")
     scratch = Scratch(spark)
     writers.write_table(
         P.prepare(raw, scratch, cfg.dedupe), f"{cfg.out}/prepared", cfg.output_format
@@ -72,7 +72,9 @@ def compare(spark: SparkSession, cfg: CompareConfig) -> PipelineModel:
     best one. Returns it."""
     o = cfg.options
     scratch = Scratch(spark)
-    source = readers.read_prepared(spark, cfg.prepared, cfg.prepared_format)
+    source = readers.spread(
+        readers.read_prepared(spark, cfg.prepared, cfg.prepared_format), "row_id"
+    )
     # Cleaned once; a few columns of it are read many times.
     rows = scratch.table(
         readers.labelled(source).select("row_id", "text", "label", "label_name"), "labelled"
