@@ -165,8 +165,13 @@ def fit_final(rows: DataFrame, feature: str, model: str, options: CompareOptions
         stages.transform(rows)
         .select("label", "features")
         .withColumn(C.WEIGHT, C.balanced_weight(counts))
+        # Read once per pass of the solver.
+        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    fitted = C.classifier(model, options, sum(counts.values())).fit(train)
+    try:
+        fitted = C.classifier(model, options, sum(counts.values())).fit(train)
+    finally:
+        train.unpersist()
     return PipelineModel(stages=[*stages.stages, fitted])
 
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revlens.functions import text as X
+from revlens.functions.rows import each
 from revlens.functions.vectors import signed_weight
 from revlens.settings import KEYWORD_SEEDS, STOPWORDS
 
@@ -49,7 +50,7 @@ def keyword_counts(docs: DataFrame, seeds: Sequence[str] = KEYWORD_SEEDS) -> Dat
     # array_intersect also removes repeats.
     found = F.concat(F.array_intersect("tokens", wanted), F.array(F.lit(None).cast("string")))
     counts = (
-        docs.select("label", F.explode(found).alias("term"))
+        docs.select("label", F.explode_outer(found).alias("term"))
         .groupBy("term")
         .agg(
             F.count_if(F.col("label") == 1).alias("positif_docs"),
@@ -84,7 +85,7 @@ def content_words(
 def word_frequencies(words: DataFrame) -> DataFrame:
     """(label, term, n) from ``content_words``."""
     return (
-        words.select("label", F.explode("words").alias("term"))
+        each(words, "words", "label", name="term")
         .groupBy("label", "term")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -127,7 +128,7 @@ def collocations(words: DataFrame, unigrams: DataFrame | None = None) -> DataFra
     """
     unigrams = word_frequencies(words) if unigrams is None else unigrams
     pairs = (
-        words.select("label", F.explode(X.bigrams(F.col("words"))).alias("pair"))
+        each(words, X.bigrams(F.col("words")), "label", name="pair")
         .groupBy("label", "pair")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizerModel, Word2Vec
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Word2Vec
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
@@ -140,7 +140,7 @@ def long_weights(vectorized: DataFrame, vocab: DataFrame) -> DataFrame:
         features["values"].alias("weight"),
     )
     return (
-        vectorized.select("row_id", F.inline(entries))
+        vectorized.select("row_id", F.inline_outer(entries))
         .join(F.broadcast(vocab.select("idx", "term")), "idx")
         .select("row_id", "term", F.col("tf").cast("bigint").alias("tf"), "weight")
     )
@@ -207,8 +207,11 @@ class ReviewVectors(Estimator):
             outputCol="mean_all",
         )
         model = trainer.fit(sentences)
-        words = [r.word for r in model.getVectors().select("word").collect()]
-        known = CountVectorizerModel.from_vocabulary(words, inputCol="terms", outputCol="known")
+        words = model.getVectors().select(F.array("word").alias("terms"))
+        # Fitted on the words themselves, so exactly that vocabulary.
+        known = CountVectorizer(
+            inputCol="terms", outputCol="known", minDF=1.0, vocabSize=2**31 - 1
+        ).fit(words)
         return PipelineModel(stages=[split, model, known, KnownMean()])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revlens.functions import text as X
+from revlens.functions.rows import each
 from revlens.settings import TfidfOptions
 
 
@@ -23,8 +24,8 @@ def _counted_terms(docs: DataFrame, *keys: str) -> DataFrame:
             F.lit(0).alias("tf"), F.lit(1).alias("df"), F.array_distinct("terms").alias("terms")
         ),
     )
-    rows = docs.select(*keys, F.inline(both))
-    return rows.select(*keys, "tf", "df", F.explode("terms").alias("term"))
+    rows = docs.select(*keys, F.inline_outer(both))
+    return each(rows, "terms", *keys, "tf", "df", name="term")
 
 
 def term_stats(docs: DataFrame) -> DataFrame:
@@ -61,16 +62,17 @@ def vocabulary(
     )
 
 
-def weigh(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+def weigh(docs: DataFrame, vocab: DataFrame, *, normalized: bool = True) -> DataFrame:
     """(row_id, term, tf, weight): sublinear tf times idf, unit length per row.
 
-    Terms outside the vocabulary are ignored. The documents are partitioned by
-    row once; counting, weighing and scaling then all stay in that partition.
-    The vocabulary has at most ``max_features`` rows, so it is broadcast.
+    Terms outside the vocabulary are ignored. The texts, which are smaller than
+    their terms, are partitioned by row once; counting, weighing and scaling
+    then all stay in that partition. The vocabulary has at most ``max_features``
+    rows, so it is broadcast.
     """
-    by_row = docs.select("row_id", "terms").repartition("row_id")
+    by_row = with_terms(docs.select("row_id", "text").repartition("row_id"), normalized=normalized)
     counts = (
-        by_row.select("row_id", F.explode("terms").alias("term"))
+        each(by_row, "terms", "row_id", name="term")
         .join(F.broadcast(vocab.select("term", "idf")), "term")
         .groupBy("row_id", "term")
         .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
@@ -85,34 +87,36 @@ def weigh(docs: DataFrame, vocab: DataFrame) -> DataFrame:
 def fold_term_stats(docs: DataFrame, folds: int, min_df: int = 1) -> DataFrame:
     """(fold, term, tf, df) over the rows *outside* each fold.
 
-    One pass counts terms per fold; the other folds are the total minus that.
-    Only terms that can reach ``min_df`` are kept for the expansion by fold.
+    One pass counts terms per fold, and the counts of the other folds are added
+    up. Only terms that can reach ``min_df`` are kept for the expansion by fold.
     """
     per_fold = (
         _counted_terms(docs, "fold")
         .groupBy("term", "fold")
         .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
     )
-    inside = F.map_from_entries(
-        F.collect_list(F.struct("fold", F.struct("tf", "df")))
-    )
+
+    def outside(count: str, fold: int) -> Column:
+        return F.sum(F.when(F.col("fold") != fold, F.col(count)).otherwise(0))
+
+    numbers = range(1, folds + 1)
     totals = (
         per_fold.groupBy("term")
-        # One entry per fold at most.
-        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"), inside.alias("inside"))
-        .where(F.col("df") >= min_df)
-    )
-    rows = totals.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds))))
-    here = F.try_element_at("inside", F.col("fold"))
-    return (
-        rows.select(
-            "fold",
-            "term",
-            (F.col("tf") - F.coalesce(here["tf"], F.lit(0))).alias("tf"),
-            (F.col("df") - F.coalesce(here["df"], F.lit(0))).alias("df"),
+        .agg(
+            F.sum("df").alias("df"),
+            *[outside(c, f).alias(f"{c}_{f}") for f in numbers for c in ("tf", "df")],
         )
         .where(F.col("df") >= min_df)
     )
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(f).alias("fold"), F.col(f"tf_{f}").alias("tf"), F.col(f"df_{f}").alias("df")
+            )
+            for f in numbers
+        ]
+    )
+    return totals.select("term", F.inline(rows)).where(F.col("df") >= min_df)
 
 
 def fold_vocabularies(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from revlens.functions import rates as R
 from revlens.functions import text as X
 from revlens.functions import vectors as V
+from revlens.functions.rows import each
 from revlens.operators import crossval as CV
 from revlens.operators import evaluate as E
 from revlens.operators import insights as I
@@ -100,7 +101,7 @@ def label_codes(i: Inputs) -> DataFrame:
 def stopword_hits(i: Inputs) -> DataFrame:
     """Use of the united stopword lists in the corpus."""
     united = tuple(dict.fromkeys((*GENERAL_STOPWORDS, *DOMAIN_STOPWORDS)))
-    words = i.table("documents").select(F.explode(X.tokens(F.col("text"))).alias("term"))
+    words = each(i.table("documents"), X.tokens(F.col("text")), name="term")
     return (
         words.where(F.col("term").isin(*united))
         .groupBy("term")
@@ -217,7 +218,7 @@ def idf(i: Inputs) -> DataFrame:
 
 
 def tfidf_weights(i: Inputs) -> DataFrame:
-    return _rounded(TM.weigh(_terms(i), _vocab(i)), "weight")
+    return _rounded(TM.weigh(i.prepared, _vocab(i)), "weight")
 
 
 def tfidf_vectors(i: Inputs) -> DataFrame:
@@ -235,8 +236,7 @@ def tfidf_vectors(i: Inputs) -> DataFrame:
 def tfidf_unseen(i: Inputs) -> DataFrame:
     """Training vocabulary and idf on the texts of another table."""
     other = i.table("benchmark").select(F.col("item_id").alias("row_id"), "text")
-    other = TM.with_terms(other, normalized=False)
-    return _rounded(TM.weigh(other, _vocab(i)), "weight")
+    return _rounded(TM.weigh(other, _vocab(i), normalized=False), "weight")
 
 
 def meaningful_terms(i: Inputs) -> DataFrame:
@@ -434,7 +434,7 @@ def seed_documents(i: Inputs) -> DataFrame:
     """Which documents contain which seed word."""
     wanted = F.array(*[F.lit(s) for s in FX.SEEDS])
     tokens = i.prepared.select("row_id", X.tokens(F.col("text"), normalized=True).alias("tokens"))
-    return tokens.select("row_id", F.explode(F.array_intersect("tokens", wanted)).alias("term"))
+    return each(tokens, F.array_intersect("tokens", wanted), "row_id", name="term")
 
 
 def _words(i: Inputs) -> DataFrame:
@@ -461,7 +461,7 @@ def _class_weighted_terms(i: Inputs) -> DataFrame:
     """Weights from document counts per class, in place of model coefficients."""
     docs = TM.with_terms(i.prepared.select("label", "text"))
     counts = (
-        docs.select("label", F.explode(F.array_distinct("terms")).alias("term"))
+        each(docs, F.array_distinct("terms"), "label", name="term")
         .groupBy("term")
         .agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n"))
         .where("p + n >= 2")
@@ -570,7 +570,7 @@ SMALL = CompareOptions(
     folds=2,
     linear_iterations=25,
     parallel_fits=5,
-    word2vec=Word2VecOptions(vector_size=16, epochs=2),
+    word2vec=Word2VecOptions(vector_size=16, epochs=2, min_count=5),
     trees=TreeOptions(forest_trees=8, extra_trees=8, boosting_rounds=4, max_depth=4),
 )
 
