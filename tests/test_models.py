@@ -1,0 +1,174 @@
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
+
+from revlens.functions.vectors import vector_values
+from revlens.operators import classifiers as C
+from revlens.operators import crossval as CV
+from revlens.operators import ml_features as MF
+from revlens.operators import scoring as SC
+from revlens.operators import terms as TM
+from revlens.settings import CompareOptions, TfidfOptions, TreeOptions, Word2VecOptions
+from tests.test_text import py_tokens
+
+GOOD = ["kopi enak sekali", "pelayanan ramah dan enak", "tempat nyaman enak", "rasa enak ramah"]
+BAD = ["antrean lama sekali", "rasa pahit dan mahal", "pelayanan lama mahal", "harga mahal pahit"]
+OPTIONS = CompareOptions(
+    folds=2,
+    linear_iterations=20,
+    word2vec=Word2VecOptions(vector_size=4, epochs=1, partitions=1),
+    trees=TreeOptions(forest_trees=3, extra_trees=3, boosting_rounds=2, max_depth=3),
+)
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    data = [(i, t, y) for i, (t, y) in enumerate([(t, 1) for t in GOOD * 5] + [(t, 0) for t in BAD * 5])]
+    return spark.createDataFrame(data, "row_id long, text string, label int").cache()
+
+
+def test_ml_tfidf_equals_long_tfidf(inputs, scratch):
+    docs = inputs.prepared.select("row_id", "text")
+    terms = TM.with_terms(docs)
+    vocab = scratch.table(TM.vocabulary(terms, docs.count(), TfidfOptions(500, 2)), "v")
+    entries = vocab.orderBy("idx").collect()
+    vectors = docs
+    for stage in MF.tfidf_stages([r.term for r in entries], [r.idf for r in entries]):
+        vectors = stage.transform(vectors)
+    a = {(r.row_id, r.term): (r.tf, r.weight) for r in MF.long_weights(vectors, vocab).collect()}
+    b = {(r.row_id, r.term): (r.tf, r.weight) for r in TM.weigh(docs, vocab).collect()}
+    assert a.keys() == b.keys()
+    assert all(a[k] == pytest.approx(b[k], abs=1e-12) for k in a)
+
+
+def test_tfidf_norms_are_one_or_zero(spark, rows):
+    model = MF.TfidfVectorizer(TfidfOptions(20, 2)).fit(rows)
+    other = spark.createDataFrame([(99, "zzz qqq", 0), (100, "", 0)], rows.schema)
+    out = model.transform(rows.union(other)).select("row_id", vector_values(F.col("features")).alias("v"))
+    for r in out.collect():
+        norm = float(np.sqrt(np.sum(np.square(r.v["values"]))))
+        assert norm == pytest.approx(0.0 if r.row_id >= 99 else 1.0)
+
+
+def test_word_vectors_average_known_tokens_only(spark, rows):
+    model = MF.ReviewVectors(Word2VecOptions(vector_size=4, epochs=1, partitions=1), 3).fit(rows)
+    table = {r.word: np.array(r.vector.toArray()) for r in model.stages[1].getVectors().collect()}
+    texts = ["kopi unknownword enak", "nothing known here", "", "enak enak mahal"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id long, text string").repartition(1)
+    got = {r.row_id: r.features.toArray() for r in model.transform(df).collect()}
+    for i, text in enumerate(texts):
+        known = [table[t] for t in py_tokens(text) if t in table]
+        want = np.mean(known, axis=0) if known else np.zeros(4)
+        np.testing.assert_allclose(got[i], want, atol=1e-6)
+
+
+def test_balanced_weights(spark, rows):
+    weighted = rows.withColumn("w", C.balanced_weight({0: 30, 1: 10}))
+    got = {r.label: r.w for r in weighted.select("label", "w").distinct().collect()}
+    assert got == {0: pytest.approx(40 / 60), 1: pytest.approx(2.0)}
+
+
+@pytest.mark.parametrize("name", list(C.REGISTRY))
+def test_every_classifier_beats_the_majority(rows, name):
+    model = CV.fit_final(rows, "tfidf", name, OPTIONS)
+    scored = SC.score_reviews(rows, model).select("label", "label_name", "p_positif", "p_negatif").collect()
+    right = sum((r.label_name == "Positif") == (r.label == 1) for r in scored)
+    assert right / len(scored) > 0.7
+    for r in scored:
+        assert np.isfinite(r.p_positif) and r.p_positif + r.p_negatif == pytest.approx(1.0)
+
+
+def test_fresh_estimators():
+    a, b = (C.classifier("linear_svm", OPTIONS, 10) for _ in range(2))
+    assert a is not b
+    with pytest.raises(ValueError, match="unsupported"):
+        C.classifier("nope", OPTIONS, 10)
+    with pytest.raises(ValueError, match="unsupported"):
+        MF.feature_estimator("nope", OPTIONS.tfidf, OPTIONS.word2vec, 1)
+
+
+@pytest.mark.parametrize("feature", ["tfidf", "word2vec"])
+def test_save_and_load(spark, rows, tmp_path, feature):
+    model = CV.fit_final(rows, feature, "linear_svm", OPTIONS)
+    path = str(tmp_path / feature)
+    SC.save_model(model, path)
+    back = SC.load_first_model(spark, [str(tmp_path / "missing"), "", path])
+    assert isinstance(back, PipelineModel)
+    a, b = ({r.row_id: r.p_positif for r in SC.score_reviews(rows, m).collect()} for m in (model, back))
+    assert a == pytest.approx(b)
+
+
+def test_blank_and_missing_model(spark, rows):
+    df = spark.createDataFrame([(1, "  "), (2, None), (3, "enak")], "row_id long, text string")
+    none = {r.row_id: r for r in SC.score_reviews(df, SC.load_first_model(spark, ["/nowhere"])).collect()}
+    assert all((r.p_negatif, r.p_positif, r.label_name) == (0.0, 0.0, None) for r in none.values())
+    assert none[1].message == "Masukkan teks review." and none[3].message == "Model belum tersedia."
+    model = CV.fit_final(rows, "tfidf", "logistic_regression", OPTIONS)
+    got = {r.row_id: r for r in SC.score_reviews(df, model).collect()}
+    assert (got[1].p_negatif, got[1].p_positif, got[1].label_name) == (0.0, 0.0, None)
+    assert got[3].message == "Positif - classical"
+
+
+def test_external_logits(spark):
+    def load():
+        def logits(x):
+            x = np.asarray(x, dtype="float64").reshape(-1)
+            return np.stack([-x, x], axis=1)
+
+        return logits
+
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "b", -1.0), (3, "", 5.0)], "row_id long, text string, x double")
+    got = {r.row_id: r for r in SC.score_logits(df, ["x"], load).collect()}
+    assert got[1].p_positif == pytest.approx(1 / (1 + np.exp(-4)))
+    assert [got[i].label_name for i in (1, 2, 3)] == ["Positif", "Negatif", None]
+
+
+def test_cross_validation_covers_every_row(rows, scratch):
+    options = CompareOptions(
+        folds=2, linear_iterations=10, models=("logistic_regression", "linear_svm"),
+        word2vec=OPTIONS.word2vec, trees=OPTIONS.trees,
+    )
+    found = CV.compare(rows, options, scratch)
+    oof = found.predictions.collect()
+    assert len(oof) == 4 * rows.count()
+    per_candidate = Counter((r.candidate_id, r.row_id) for r in oof)
+    assert set(per_candidate.values()) == {1}
+    assert {r.status for r in found.status.collect()} == {"done"}
+    kinds = {(r.model, r.score_kind) for r in oof}
+    assert kinds == {("logistic_regression", "probability"), ("linear_svm", "margin")}
+
+
+def test_folds_use_training_vocabulary_only(spark, rows, scratch):
+    folded = rows.withColumn("fold", (F.col("row_id") % 2 + 1).cast("int"))
+    make = CV._fold_vectorizers(folded, "tfidf", OPTIONS)
+    for fold in (1, 2):
+        vocab = set(make(fold).stages[1].vocabulary)
+        train = [r.text for r in folded.where(F.col("fold") != fold).collect()]
+        df = Counter(t for text in train for t in set(py_tokens(text)))
+        assert {t for t in vocab if " " not in t} == {t for t, n in df.items() if n >= 2}
+
+
+def test_failing_candidate_is_reported(rows, scratch, monkeypatch):
+    def broken(options, n):
+        raise RuntimeError("boom")
+
+    monkeypatch.setitem(C.REGISTRY, "linear_svm", broken)
+    options = CompareOptions(folds=2, linear_iterations=5, features=("tfidf",), models=("linear_svm", "logistic_regression"))
+    found = CV.compare(rows, options, scratch)
+    status = {r.model: (r.status, r.error) for r in found.status.collect()}
+    assert status["linear_svm"] == ("failed", "RuntimeError('boom')")
+    assert status["logistic_regression"][0] == "done"
+    assert {r.model for r in found.predictions.select("model").distinct().collect()} == {"logistic_regression"}
+    with pytest.raises(RuntimeError, match="boom"):
+        CV.compare(rows, CompareOptions(folds=2, features=("tfidf",), models=("linear_svm",), stop_on_error=True), scratch)
+    with pytest.raises(RuntimeError, match="every candidate failed"):
+        CV.compare(rows, CompareOptions(folds=2, features=("tfidf",), models=("linear_svm",)), scratch)
+
+
+def test_linear_weights_match_the_vocabulary(rows):
+    model = CV.fit_final(rows, "tfidf", "logistic_regression", OPTIONS)
+    weights = {r.term: r.weight for r in CV.linear_weights(model).collect()}
+    assert weights["enak"] > 0 > weights["mahal"]
