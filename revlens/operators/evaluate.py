@@ -150,7 +150,7 @@ def roc_points(
     scores have a curve.
 
     ``drop_collinear`` leaves out the points in the middle of a straight line,
-    as the reference chart does.
+    which a chart does not need.
     """
     keys = tuple(keys)
     scores = scratch.table(score_table(predictions, *keys), "scores")

@@ -44,77 +44,78 @@ def _known() -> Column:
     return F.col("label_name").isin(*LABEL_CODES)
 
 
+PREPARED = ("row_id", "text", "label", "label_name", "kategori", "stars", "source_column")
+
+
 def tag_rows(raw: DataFrame) -> DataFrame:
-    """Every raw row with its reason for being dropped before deduplication.
+    """Every raw row in the prepared layout, with ``drop_reason`` and ``digest``.
 
-    Columns: row_id, label_name, source_column, clean, drop_reason, digest.
-    Text is normalised only where the label is known, and a digest is made only
-    where no reason was found. Rows that fail two tests count at the first.
+    ``drop_reason`` is the first test a row fails, before deduplication; NULL
+    means usable. Texts are normalised only where the label is known, and
+    digests are made only for usable rows: JVM expressions inside a CASE are
+    not evaluated for the other rows.
     """
     rows = choose_text(label_rows(raw))
+
+    def clean(value: Column) -> Column:
+        return F.when(_known(), X.normalize_text(value))
+
     rows = rows.select(
         "row_id",
+        clean(F.col("chosen")).alias("text"),
+        X.label_code(F.col("label_name")).alias("label"),
         "label_name",
+        clean(_column_or_null(rows, "kategori")).alias("kategori"),
+        clean(_column_or_null(rows, "stars")).alias("stars"),
         "source_column",
-        F.when(_known(), X.normalize_text(F.col("chosen"))).alias("clean"),
     )
     rows = rows.withColumn(
         "drop_reason",
         F.when(F.col("label_name") == NEUTRAL_LABEL, "netral")
         .when(~_known(), "other_label")
-        .when(X.is_bad_text(F.col("clean")), "bad_text"),
+        .when(X.is_bad_text(F.col("text")), "bad_text"),
     )
-    digest = X.key_digest(X.dedupe_key(F.col("clean"), normalized=True))
+    digest = X.key_digest(X.dedupe_key(F.col("text"), normalized=True))
     return rows.withColumn("digest", F.when(F.col("drop_reason").isNull(), digest))
 
 
-def usable_rows(raw: DataFrame) -> DataFrame:
+def usable_rows(tagged: DataFrame) -> DataFrame:
     """Rows that pass the label and text tests, in the prepared layout plus ``digest``."""
-    rows = choose_text(label_rows(raw).where(_known()))
-    rows = rows.select(
-        "row_id",
-        X.normalize_text(F.col("chosen")).alias("text"),
-        X.label_code(F.col("label_name")).alias("label"),
-        "label_name",
-        X.normalize_text(_column_or_null(rows, "kategori")).alias("kategori"),
-        X.normalize_text(_column_or_null(rows, "stars")).alias("stars"),
-        "source_column",
-    ).where(~X.is_bad_text(F.col("text")))
-    return rows.withColumn(
-        "digest", X.key_digest(X.dedupe_key(F.col("text"), normalized=True))
-    )
+    return tagged.where(F.col("drop_reason").isNull()).select(*PREPARED, "digest")
 
 
 def prepare(raw: DataFrame, scratch: Scratch, dedupe: bool = True) -> DataFrame:
     """Prepared table: row_id, text, label, label_name, kategori, stars, source_column."""
-    rows = usable_rows(raw)
-    if dedupe:
-        rows = first_wins(rows, "digest", "row_id", scratch)
-    return rows.drop("digest").select(
-        "row_id", "text", "label", "label_name", "kategori", "stars", "source_column"
-    )
+    if not dedupe:
+        return usable_rows(tag_rows(raw)).drop("digest")
+    # Finding duplicates takes a pass over the digests and one over the rows.
+    # Reading written rows is much cheaper than cleaning the texts twice.
+    usable = scratch.table(usable_rows(tag_rows(raw)), "usable")
+    return deduplicated(usable, scratch)
+
+
+def deduplicated(usable: DataFrame, scratch: Scratch) -> DataFrame:
+    return first_wins(usable, "digest", "row_id", scratch).select(*PREPARED)
 
 
 def drop_reasons(raw: DataFrame, scratch: Scratch) -> DataFrame:
     """(row_id, drop_reason) for every raw row; NULL for kept rows."""
-    rows = tag_rows(raw).select("row_id", "drop_reason", "digest")
+    rows = scratch.table(tag_rows(raw).select("row_id", "drop_reason", "digest"), "tags")
     rows = mark_first(rows, "digest", "row_id", scratch)
     reason = F.when(~F.col("is_first"), "duplicate").otherwise(F.col("drop_reason"))
     return rows.select("row_id", reason.alias("drop_reason"))
 
 
-def summarize(raw: DataFrame, dedupe: bool = True) -> DataFrame:
-    """One row of counts. The texts are read once and only digests are shuffled:
-    the kept rows are the distinct digests, so no join is needed, and a hot
-    digest is already one row per task before the shuffle."""
+def summarize(tagged: DataFrame, dedupe: bool = True) -> DataFrame:
+    """One row of counts from ``tag_rows``. Only digests are shuffled: the kept
+    rows are the distinct digests, so no join is needed, and a hot digest is
+    already one row per task before the shuffle."""
     groups = (
-        tag_rows(raw)
-        .groupBy("drop_reason", "digest")
-        .agg(
+        tagged.groupBy("drop_reason", "digest").agg(
             F.count(F.lit(1)).alias("n"),
-            F.min_by(X.label_code(F.col("label_name")), F.col("row_id")).alias("first_label"),
-            F.count_if(X.label_code(F.col("label_name")) == 0).alias("negatif"),
-            F.count_if(X.label_code(F.col("label_name")) == 1).alias("positif"),
+            F.min_by("label", "row_id").alias("first_label"),
+            F.count_if(F.col("label") == 0).alias("negatif"),
+            F.count_if(F.col("label") == 1).alias("positif"),
         )
     )
     passed = F.col("drop_reason").isNull()

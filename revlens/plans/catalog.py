@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from revlens.functions import rates as R
 from revlens.functions import text as X
@@ -20,6 +20,7 @@ from revlens.operators import scoring as SC
 from revlens.operators import split as S
 from revlens.operators import terms as TM
 from revlens.plans import fixtures as FX
+from revlens.plans import jobs
 from revlens.plans.fixtures import Inputs
 from revlens.plans.jobs import fold_results, pooled_results
 from revlens.settings import (
@@ -136,15 +137,15 @@ def prep_keep_duplicates(i: Inputs) -> DataFrame:
 
 
 def prep_summary(i: Inputs) -> DataFrame:
-    return P.summarize(i.raw)
+    return P.summarize(P.tag_rows(i.raw))
 
 
 def prep_summary_keep_duplicates(i: Inputs) -> DataFrame:
-    return P.summarize(i.raw, dedupe=False)
+    return P.summarize(P.tag_rows(i.raw), dedupe=False)
 
 
 def summary_json(i: Inputs) -> DataFrame:
-    return writers.summary_document(P.summarize(i.raw), "reviews_raw", "prepared")
+    return writers.summary_document(P.summarize(P.tag_rows(i.raw)), "reviews_raw", "prepared")
 
 
 def label_counts(i: Inputs) -> DataFrame:
@@ -267,7 +268,7 @@ def fold_train_rows(i: Inputs) -> DataFrame:
 
 def _folded_terms(i: Inputs) -> DataFrame:
     rows = S.stratified_folds(i.prepared.select("row_id", "label", "text"), FX.FOLDS, FX.SEED)
-    return TM.with_terms(rows.select("row_id", "fold", "text"))
+    return TM.with_terms(rows.select("fold", "text"))
 
 
 def fold_term_stats(i: Inputs) -> DataFrame:
@@ -275,8 +276,7 @@ def fold_term_stats(i: Inputs) -> DataFrame:
 
 
 def fold_vocabularies(i: Inputs) -> DataFrame:
-    terms = i.scratch.table(_folded_terms(i), "folded-terms")
-    return _rounded(TM.fold_vocabularies(terms, FX.FOLDS), "idf")
+    return _rounded(TM.fold_vocabularies(_folded_terms(i), FX.FOLDS), "idf")
 
 
 def holdout(i: Inputs) -> DataFrame:
@@ -563,6 +563,38 @@ def external_scores(i: Inputs) -> DataFrame:
     )
 
 
+def dashboard(i: Inputs) -> DataFrame:
+    """The report tables written to a folder, read back and put in one list."""
+    out = i.scratch.path("reports")
+    writers.write_report(E.rank_candidates(_results(i)), f"{out}/results")
+    top = I.top_weighted_terms(_class_weighted_terms(i), stopwords=FX.STOPWORDS)
+    writers.write_report(top, f"{out}/top_words")
+    tokens = i.prepared.select("label", X.tokens(F.col("text"), normalized=True).alias("tokens"))
+    writers.write_report(I.keyword_counts(tokens, FX.SEEDS), f"{out}/keyword_counts")
+    writers.write_json(
+        P.label_counts(i.prepared).select(writers.document("label_name", "n").alias("value")),
+        f"{out}/summary",
+    )
+    tables = jobs.dashboard(i.spark, out)
+    labels = F.from_json("value", "label_name string, n bigint")
+
+    def section(name: str, label: Column, value: Column) -> DataFrame:
+        return tables[name].select(
+            F.lit(name).alias("section"),
+            label.alias("name"),
+            F.round(value.cast("double"), 6).alias("value"),
+        )
+
+    return CV.stack(
+        [
+            section("results", F.concat_ws("/", "feature", "model"), F.col("f1")),
+            section("top_words", F.col("term"), F.col("weight")),
+            section("keyword_counts", F.col("term"), F.col("lift")),
+            section("summary", labels["label_name"], labels["n"]),
+        ]
+    )
+
+
 # --- models (rows only) ----------------------------------------------------
 
 # Small trees and few rounds: the queries show the operators, not the best model.
@@ -677,6 +709,7 @@ QUERIES: tuple[Callable[[Inputs], DataFrame], ...] = (
     word_cloud,
     top_terms,
     top_terms_signed,
+    dashboard,
     softmax,
     argmax_label,
     sigmoid,

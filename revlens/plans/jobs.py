@@ -44,10 +44,12 @@ def prepare(spark: SparkSession, cfg: PrepareConfig) -> DataFrame:
     """Write ``out/prepared`` and ``out/summary``; return the summary row."""
     raw = readers.spread(readers.read_raw(spark, cfg.input, cfg.input_format), "row_id")
     scratch = Scratch(spark)
-    writers.write_table(
-        P.prepare(raw, scratch, cfg.dedupe), f"{cfg.out}/prepared", cfg.output_format
-    )
-    summary = scratch.table(P.summarize(raw, cfg.dedupe), "summary")
+    # The texts are cleaned once, for the rows and for the counts.
+    tagged = scratch.table(P.tag_rows(raw), "tagged")
+    rows = P.usable_rows(tagged)
+    rows = P.deduplicated(rows, scratch) if cfg.dedupe else rows.drop("digest")
+    writers.write_table(rows, f"{cfg.out}/prepared", cfg.output_format)
+    summary = scratch.table(P.summarize(tagged, cfg.dedupe), "summary")
     document = writers.summary_document(
         summary, cfg.input.rstrip("/").rsplit("/", 1)[-1], f"{cfg.out}/prepared"
     )

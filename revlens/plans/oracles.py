@@ -590,21 +590,20 @@ def sql() -> dict[str, str]:
 
     # Insights
     totals = "(SELECT count(*) FROM prep WHERE label = {})::DOUBLE"
-    out["keyword_counts"] = _with(
-        (
-            *_PREP,
-            f"""seen AS (SELECT DISTINCT row_id, label, term FROM (
+    keywords = f"""seen AS (SELECT DISTINCT row_id, label, term FROM (
               SELECT row_id, label, unnest({_tokens('text')}) AS term FROM prep)
               WHERE term IN {_list(FX.SEEDS)}),
             k AS (SELECT term, count(*) FILTER (label = 1) AS positif_docs,
               count(*) FILTER (label = 0) AS negatif_docs FROM seen GROUP BY term),
             r AS (SELECT *, positif_docs / {totals.format(1)} AS pr,
-              negatif_docs / {totals.format(0)} AS nr FROM k)""",
-        ),
-        """SELECT term, positif_docs, negatif_docs, round(pr, 6) AS positif_rate,
+              negatif_docs / {totals.format(0)} AS nr FROM k)"""
+    lift = "round((pr + 1e-9::DOUBLE) / (nr + 1e-9::DOUBLE), 6)"
+    out["keyword_counts"] = _with(
+        (*_PREP, keywords),
+        f"""SELECT term, positif_docs, negatif_docs, round(pr, 6) AS positif_rate,
             round(nr, 6) AS negatif_rate,
             CASE WHEN pr >= nr THEN 'Positif' ELSE 'Negatif' END AS dominant_label,
-            round((pr + 1e-9::DOUBLE) / (nr + 1e-9::DOUBLE), 6) AS lift FROM r""",
+            {lift} AS lift FROM r""",
     )
     out["seed_documents"] = _with(
         _PREP,
@@ -631,6 +630,15 @@ def sql() -> dict[str, str]:
             ORDER BY abs(weight) DESC, term) AS r FROM top) WHERE r <= 20""",
     )
 
+    out["dashboard"] = _with(
+        (*METRICS, TERMS, CLASS_WEIGHTS, keywords),
+        f"""SELECT 'results' AS section, feature || '/' || model AS name, round(f1, 6) AS value
+            FROM results
+          UNION ALL SELECT 'top_words', term, round(weight, 6) FROM top
+          UNION ALL SELECT 'keyword_counts', term, {lift} FROM r
+          UNION ALL SELECT 'summary', label_name, count(*)::DOUBLE FROM prep GROUP BY label_name""",
+    )
+
     # Scoring
     logits = (*_SCORED, LOGITS)
     out["softmax"] = _with(

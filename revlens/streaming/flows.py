@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from revlens.functions import text as X
-from revlens.operators.prepare import usable_rows
+from revlens.operators.prepare import tag_rows, usable_rows
 from revlens.operators.scoring import score_reviews
 
 
@@ -33,7 +33,7 @@ def read_stream(
 
 def clean_stream(raw: DataFrame) -> DataFrame:
     """Usable rows of a raw review stream, with ``digest``, duplicates included."""
-    return usable_rows(raw)
+    return usable_rows(tag_rows(raw))
 
 
 def dedupe_stream(rows: DataFrame, event_time: str, delay: str) -> DataFrame:

@@ -24,7 +24,10 @@ def test_registry():
 
 @pytest.mark.parametrize("name", list(SQL))
 def test_query_matches_sql(spark, duck, name):
-    result = QUERIES[name](spark, SF_DIR).toPandas()
+    df = QUERIES[name](spark, SF_DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
+    result = df.toPandas()
     assert len(result) > 0
     assert compare(result, duck.sql(SQL[name]).df()) == "ok"
 

@@ -49,12 +49,12 @@ def test_drop_reasons(raw, scratch):
 
 
 def test_summary_adds_up(raw):
-    s = P.summarize(raw).first().asDict()
+    s = P.summarize(P.tag_rows(raw)).first().asDict()
     assert s == {
         "original_rows": 12, "dropped_netral": 2, "dropped_other_label": 2, "dropped_bad_text": 2,
         "dropped_duplicates": 3, "kept_rows": 3, "negatif": 2, "positif": 1,
     }
-    kept = P.summarize(raw, dedupe=False).first()
+    kept = P.summarize(P.tag_rows(raw), dedupe=False).first()
     assert (kept.dropped_duplicates, kept.kept_rows, kept.negatif, kept.positif) == (0, 6, 3, 3)
 
 
@@ -72,7 +72,7 @@ def test_missing_text_columns(spark, scratch):
 def test_no_rows(raw, scratch):
     none = raw.where("row_id < 0")
     assert P.prepare(none, scratch).count() == 0
-    assert P.summarize(none).first().kept_rows == 0
+    assert P.summarize(P.tag_rows(none)).first().kept_rows == 0
 
 
 def test_input_order_does_not_matter(spark, inputs, scratch):

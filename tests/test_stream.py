@@ -16,7 +16,7 @@ def test_stream_preparation_equals_batch(spark, inputs, tmp_path):
     stream = flows.read_stream(spark, source, inputs.raw.schema, files_per_trigger=1)
     flows.drain(flows.clean_stream(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {tuple(r) for r in P.usable_rows(inputs.raw).collect()}
+    assert got == {tuple(r) for r in P.usable_rows(P.tag_rows(inputs.raw)).collect()}
 
 
 def test_draining_again_adds_only_new_files(spark, inputs, tmp_path):
@@ -28,7 +28,7 @@ def test_draining_again_adds_only_new_files(spark, inputs, tmp_path):
             rest.write.mode("append").parquet(source)
         stream = flows.read_stream(spark, source, inputs.raw.schema)
         flows.drain(flows.clean_stream(stream), out, cp)
-    assert spark.read.parquet(out).count() == P.usable_rows(inputs.raw).count()
+    assert spark.read.parquet(out).count() == P.usable_rows(P.tag_rows(inputs.raw)).count()
 
 
 def test_stream_scores_equal_batch(spark, inputs, tmp_path):
