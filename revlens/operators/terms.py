@@ -87,21 +87,17 @@ def weigh(docs: DataFrame, vocab: DataFrame, *, normalized: bool = True) -> Data
 def fold_term_stats(docs: DataFrame, folds: int, min_df: int = 1) -> DataFrame:
     """(fold, term, tf, df) over the rows *outside* each fold.
 
-    One pass counts terms per fold, and the counts of the other folds are added
-    up. Only terms that can reach ``min_df`` are kept for the expansion by fold.
+    One count per term has a column for each fold, so one shuffle serves all
+    folds. Only terms that can reach ``min_df`` are expanded by fold.
     """
-    per_fold = (
-        _counted_terms(docs, "fold")
-        .groupBy("term", "fold")
-        .agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
-    )
 
     def outside(count: str, fold: int) -> Column:
         return F.sum(F.when(F.col("fold") != fold, F.col(count)).otherwise(0))
 
     numbers = range(1, folds + 1)
     totals = (
-        per_fold.groupBy("term")
+        _counted_terms(docs, "fold")
+        .groupBy("term")
         .agg(
             F.sum("df").alias("df"),
             *[outside(c, f).alias(f"{c}_{f}") for f in numbers for c in ("tf", "df")],
