@@ -6,9 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from revlens.llm import quality, secret_scan
+from revlens.llm import bpe, langid, quality, secret_scan
 from revlens.llm.kit import read
 
+BYTE_BPE = "byte_bpe_50k.json"
+
+
+def vocabulary(name: str = BYTE_BPE) -> str:
+    """The path of a public vocabulary, installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,6 +26,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = langid.fold_is("doc_id", 3, 1)
+    model = langid.fit(docs.where(~held_out))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digest(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
     return secret_scan.digest(found, secret_scan.BASE_KINDS)

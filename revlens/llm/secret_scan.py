@@ -203,10 +203,11 @@ def joined(spans: Column) -> Column:
 def digest(found: DataFrame, base_kinds: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
     """Counts and hashes of the spans of ``find_secrets`` and of its like."""
     base = F.filter("spans", lambda s: s["kind"].isin(*base_kinds))
-    counts = [
-        F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-        for kind in base_kinds
-    ]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(kind).alias(f"n_{kind}") for kind in base_kinds]
     return found.select(
         id_col,
         *counts,
