@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import bpe, langid, packing, quality, secret_scan, topk
+from revlens.llm import bpe, langid, packing, quality, secret_scan, substring, topk
 from revlens.llm.kit import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -26,6 +26,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(read(spark, sf_dir, "documents"))
+    kept = F.sha2("kept", 256).alias("kept_sha256")
+    return found.select("row.doc_id", "n_words", "n_removed", kept)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     held_out = langid.fold_is("doc_id", 3, 1)
