@@ -4,22 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import quality, secret_scan
+from revlens.llm import near_dup, packing, quality, secret_scan, substring
 from revlens.llm.kit import Stage
+from revlens.llm.queries import vocabulary
+
+
+# Near-duplicate stages work on five-word shingles.
+NEAR = near_dup.Options(shingle=5)
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` of the text as it is now."""
+    if "n_chars" not in docs.columns:
+        return docs
+    length = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return docs.withColumn("n_chars", length)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules."""
     return quality.keep_good(docs)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near copies."""
+    return near_dup.one_of_each(docs, NEAR)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the words of repeated passages."""
+    return counted(substring.without_repeats(docs))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    redacted = secret_scan.redact(docs)
-    return redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Documents with each secret replaced by its kind."""
+    return counted(secret_scan.redact(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their tokens."""
+    return packing.pack(docs, vocabulary())
 
 
 STAGES = [
     ("quality_rules", quality_rules),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("substring_dedup", substring_dedup),
     ("secret_scans", secret_scans),
+    ("packing", packed),
 ]
 
 # Packing and substring removal are not SQL; the tests have brute-force versions.
