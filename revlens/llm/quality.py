@@ -114,10 +114,11 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(count < 2, F.lit(0).cast("long")).otherwise(let(hashes(), some))
 
 
-def measured(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``df`` with a column of each measure; null text counts as empty."""
+def measured(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df``, of columns that no measure is named like, with a column of each
+    measure; null text counts as empty."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    words, lines = F.col(f"{prefix}words"), F.col(f"{prefix}lines")
+    words, lines = F.col("words"), F.col("lines")
     lower = F.transform(words, lambda w: F.lower(w))
     long = {
         "n_words": F.size(words),
@@ -130,13 +131,13 @@ def measured(df: DataFrame, text_col: str = "text", prefix: str = "") -> DataFra
         "n_bars": removed(text, r"\|"),
         "n_stop_words": F.size(F.filter(lower, lambda w: w.isin(*STOP_WORDS))),
     }
+    # A generator keeps later filters above it. Pushed down, they would put the
+    # words' expression into every use of it, lambdas included.
+    row = F.struct(*[v.cast("long").alias(k) for k, v in long.items()])
     return (
-        df.withColumn(f"{prefix}words", words_of(text))
-        .withColumn(
-            f"{prefix}lines", F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
-        )
-        .select("*", *[v.cast("long").alias(f"{prefix}{k}") for k, v in long.items()])
-        .drop(f"{prefix}words", f"{prefix}lines")
+        df.withColumn("words", words_of(text))
+        .withColumn("lines", F.filter(F.split(text, "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]")))
+        .select(*df.columns, F.inline(F.array(row)))
     )
 
 
@@ -184,10 +185,6 @@ def keep_good(
     df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES
 ) -> DataFrame:
     """The rows that pass, with their own columns only."""
-    taken = {c.lower() for c in df.columns}
-    row = "row"
-    while row in taken:
-        row += "_"
-    whole = df.select(F.struct("*").alias(row), F.col(text_col).alias("text"))
+    whole = df.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
     kept = measured(whole).where(~base_failed() & verdict(rules))
-    return kept.select(f"{row}.*")
+    return kept.select("row.*")
