@@ -51,27 +51,37 @@ class TwoGenerations:
         out = list(map(self.new.get, keys))
         if None not in out:
             return out
-        missing = {k for k, v in zip(keys, out) if v is None}
+        empty = [at for at, v in enumerate(out) if v is None]
+        missing = {keys[at] for at in empty}
         here = {k: v for k in missing if (v := self.old.get(k)) is not None}
         wanted = [k for k in missing if k not in here]
         here.update(zip(wanted, make(wanted)))
-        out = [here[k] if v is None else v for k, v in zip(keys, out)]
-        short = {k: v for k, v in here.items() if len(k) <= LONGEST}
-        if len(self.new) + len(short) > self.size:
+        for at in empty:
+            out[at] = here[keys[at]]
+        if max(map(len, here)) > LONGEST:
+            here = {k: v for k, v in here.items() if len(k) <= LONGEST}
+        if len(self.new) + len(here) > self.size:
             self.old, self.new = self.new, {}
-        self.new.update(short)
+        self.new.update(here)
         return out
 
 
 def parts_of(text: str) -> list[str]:
     """The text cut before each space that a visible character follows. No token
     reaches across such a place, so parts can be encoded one by one."""
-    parts = text.split(" ")
-    if "" not in parts and not any(p[0].isspace() for p in parts):
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    plain = not any(map(text.__contains__, _RARE_ASCII))
+    if plain and not text.isascii():
+        plain = not any(map(text.__contains__, _RARE_OTHER))
+    if plain and not text.endswith(" "):
+        return text.replace(" ", "\0 ").split("\0")
     return _CUT.split(text)
 
 
+# Where none of these occurs, every space is such a place.
+_RARE_ASCII = ("\0", *(" " + chr(c) for c in (*range(9, 14), *range(28, 33))))
+_RARE_OTHER = tuple(
+    chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 # A place, not a character: the space stays with the part that follows.
 _CUT = regex.compile(r"(?V1)(?= [^\s\x1c-\x1f])")
 

@@ -16,6 +16,8 @@ together, every token is used, and only the last window is short.
 
 from __future__ import annotations
 
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -139,39 +141,69 @@ class Mixture:
 
 
 class Library:
-    """The tokenizers library's ids, with the parts of texts remembered. Unknown
-    parts are encoded together, one to a line: a line end before a space is a
-    token of its own, so it marks where one part's ids end."""
+    """The tokenizers library's ids, with the parts of texts remembered. Words of
+    Latin letters, which are one piece to its splitting, go to a copy of the
+    tokenizer that need not split them again. Unknown parts are encoded together,
+    one to a line; a line end is a token of its own, so it marks where one part's
+    ids end. Other than byte-level tokenizers encode whole texts."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.parts = TwoGenerations(300_000)
-        self.line = self.library.encode("\n", add_special_tokens=False).ids
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        form = json.loads(self.library.to_str())
+        splits = form["pre_tokenizer"] or {}
+        self.in_parts = (
+            splits.get("type") == "ByteLevel"
+            and splits.get("use_regex")
+            and not splits.get("add_prefix_space")
+            and form["normalizer"] is None
+        )
+        self.words = TwoGenerations(300_000)
+        self.parts = TwoGenerations(400_000)
+        if self.in_parts:
+            self.unsplit = Tokenizer.from_file(path)
+            lines = pre_tokenizers.Split("\n", "isolated")
+            bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.unsplit.pre_tokenizer = pre_tokenizers.Sequence([lines, bytes_])
+            self.line = self._encode(["\n"])[0]
+            self.marks = {m: np.array(self._encode([m])[0], "<u4").tobytes() for m in ("", *".,;:!?")}
+
+    def _encode(self, texts: list[str], plain: bool = False) -> list[list[int]]:
+        own = self.unsplit if plain else self.library
+        return [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        plain = [p for p in parts if p[:1] == " " and "\n" not in p and not p[-1].isspace()]
-        other = list(set(parts) - set(plain))
+        """A mark that closes a word of Latin letters is a token of its own."""
+        words, marks = [], []
+        for p in parts:
+            close = p and p[-1] in self.marks and p[1:-1].isalpha() and p[0] == " "
+            mark = p[-1] if close and max(p) < LATIN_END else ""
+            words.append(p[:-1] if mark else p)
+            marks.append(mark)
+        ids = self.words.get_all(words, self._words)
+        return [i + self.marks[m] for i, m in zip(ids, marks)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        plain, other = [], []
+        for w in words:
+            latin = w[:1] == " " and w[1:].isalpha() and max(w) < LATIN_END
+            (plain if latin else other).append(w)
         found: dict[str, bytes] = {}
-        for at in range(0, len(plain), 200):
-            some = plain[at : at + 200]
-            ids = np.array(self._encode(["\n".join([*some, " "])])[0], "<u4")
+        for at in range(0, len(plain), 500):
+            some = plain[at : at + 500]
+            ids = np.array(self._encode(["\n".join(some)], plain=True)[0], "<u4")
             ends = np.flatnonzero(ids == self.line[0])
-            if len(self.line) == 1 and len(ends) == len(some):
-                begins = np.r_[0, ends[:-1] + 1]
-                found.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, begins, ends))
-            else:
-                other += some
+            begins = np.r_[0, ends + 1]
+            found.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, begins, [*ends, len(ids)]))
         found.update(zip(other, (np.array(i, "<u4").tobytes() for i in self._encode(other))))
-        return [found[p] for p in parts]
+        return [found[w] for w in words]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.in_parts:
+            return [np.array(i, "<u4").tobytes() for i in self._encode(texts)]
         cut = [parts_of(t) for t in texts]
         flat = self.parts.get_all([p for parts in cut for p in parts], self._parts)
         out, at = [], 0
@@ -181,8 +213,15 @@ class Library:
         return out
 
 
+# Letters below this code are letters in every version of Unicode.
+LATIN_END = "\u0250"
+
+
 @lru_cache(2)
 def library(path: str) -> Library:
+    """One for each Python worker. Spark's tasks are the parallel units; threads
+    inside one only take turns."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return Library(path)
 
 
