@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import bpe, langid, near_dup, packing, quality, secret_scan, substring, topk
+from revlens.llm import bpe, langid, near_dup, packing, quality, secret_scan, substring, topk, toxicity
 from revlens.llm.kit import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -53,6 +53,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    held_out = langid.fold_is("doc_id", 5, 0)
+    model = toxicity.fit(docs, labels.where(~held_out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
     return secret_scan.digest(found, secret_scan.BASE_KINDS)
