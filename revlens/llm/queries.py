@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from revlens.llm import bpe, langid, near_dup, packing, quality, secret_scan, substring, topk, toxicity
+from revlens.llm import bpe, langid, near_dup, packing, pii, quality
+from revlens.llm import secret_scan, substring, topk, toxicity
 from revlens.llm.kit import read
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -53,6 +54,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = pii.find_personal(docs, pii.fit(docs))
+    return secret_scan.digest(found, pii.KINDS, F.col("base"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     held_out = langid.fold_is("doc_id", 5, 0)
@@ -63,7 +70,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(read(spark, sf_dir, "documents"))
-    return secret_scan.digest(found, secret_scan.BASE_KINDS)
+    return secret_scan.digest(found, secret_scan.BASE_KINDS, secret_scan.base_spans())
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,22 +200,25 @@ def joined(spans: Column) -> Column:
     )
 
 
-def digest(found: DataFrame, base_kinds: tuple[str, ...], id_col: str = "doc_id") -> DataFrame:
-    """Counts and hashes of the spans of ``find_secrets`` and of its like."""
-    base = F.filter("spans", lambda s: s["kind"].isin(*base_kinds))
+def digest(found: DataFrame, kinds: tuple[str, ...], base: Column, id_col: str = "doc_id") -> DataFrame:
+    """Counts by kind and hash of the base spans, and all spans as text."""
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
 
-    counts = [count(kind).alias(f"n_{kind}") for kind in base_kinds]
     return found.select(
         id_col,
-        *counts,
+        *[count(kind).alias(f"n_{kind}") for kind in kinds],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
     )
 
 
+def base_spans() -> Column:
+    """Of ``find_secrets``: the spans of the base kinds."""
+    return F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+
+
 def redact(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """All rows and columns; each secret in the text becomes ``[kind]``.
 
