@@ -219,7 +219,10 @@ def _clusters(sets: DataFrame, stage: kit.Stage, o: Options) -> DataFrame:
         banded.join(full.where("m > 1").drop("m"), ["band", "value"]), "members"
     )
     stars = members.where("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b"))
-    edges = stage.table(_near(stars.distinct(), sets, o), "edges")
+    # One edge for each set is enough: what it would have joined besides shares a
+    # bucket with it, and is found below.
+    near = _near(stars.distinct(), sets, o).groupBy("b").agg(F.min("a").alias("a"))
+    edges = stage.table(near.select("a", "b"), "edges")
     roots = components(edges, stage)
 
     # Buckets whose sets are not all of one cluster.
