@@ -1,7 +1,96 @@
-"""DuckDB SQL of the operators that SQL can express."""
+"""DuckDB SQL of the operators that SQL can express on whole tables.
+
+The others are held against brute-force versions in the tests: BPE and packing
+against the tokenizers library, near-duplicates against all pairs, spans against
+the plain expressions, and the two classifiers by held-out accuracy.
+"""
 
 from __future__ import annotations
 
+from revlens.llm.quality import STOP_WORDS
+
+WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_STOPS = ", ".join(f"'{w}'" for w in STOP_WORDS)
+
+QUALITY = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), w AS (
+  SELECT doc_id, p, list_slice(words, p, p + 7) AS eight
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS p FROM d WHERE len(words) >= 8)
+), r AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (
+    SELECT doc_id, unnest(range(p, p + 8)) AS place
+    FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, eight) AS n FROM w)
+    WHERE n > 1
+  ) GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')) AS BIGINT) AS n_upper,
+    CAST(length(text) - length(regexp_replace(text, '\|', '', 'g')) AS BIGINT) AS n_bars,
+    CAST(len(list_filter(words, lambda x: lower(x) IN ({_STOPS}))) AS BIGINT) AS n_stop_words
+  FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+), b AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m
+)
+SELECT *, NOT base_failed
+    AND coalesce(word_chars / nullif(n_words, 0) BETWEEN 2 AND 40, true)
+    AND coalesce(n_symbols / nullif(n_words, 0) <= 0.4, true)
+    AND coalesce(n_dup_lines / nullif(n_lines, 0) <= 0.5, true)
+    AND coalesce(n_upper / nullif(word_chars, 0) <= 0.5, true)
+    AND coalesce(n_stop_words / nullif(n_words, 0) >= 0.02, true)
+    AND coalesce(n_bars / nullif(n_words, 0) <= 0.25, true) AS kept
+FROM b
+"""
+
+SUBSTRING = rf"""
+WITH d AS (SELECT doc_id, {WORDS} AS words FROM documents),
+w AS (
+  SELECT doc_id, p, sha256(array_to_string(list_slice(words, p, p + 34), ' ')) AS run
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS p FROM d WHERE len(words) >= 35)
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 35)) AS place
+  FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY run) AS n FROM w) WHERE n > 1
+), flat AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM d
+), kept AS (
+  SELECT f.doc_id, string_agg(f.word, ' ' ORDER BY f.place) AS text
+  FROM flat f ANTI JOIN gone g ON f.doc_id = g.doc_id AND f.place = g.place GROUP BY f.doc_id
+), n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
+
 
 def sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_quality_rules": QUALITY,
+        "op2_substring_dedup": SUBSTRING,
+        "op10_top_k": TOP_K,
+    }
