@@ -143,7 +143,10 @@ def span_features(zone: str, start: int, end: int) -> list[str]:
         low = span.lower()
         signs = [s for s in ("@", "(at)", "[at]") if s in low]
         dots = any(d in low for d in (".", "(dot)", "[dot]"))
-        out.append(f"address={len(signs) == 1},{dots},{' ' in span.strip()}")
+        out.append(f"address={len(signs) == 1},{dots}")
+        held = [c for c in span if not c.isalnum()]
+        out.append(f"marks_at_ends={held[0]}{held[-1]}" if held else "no_marks")
+        out.append(f"blanks={min(span.count(' '), 4)}")
     return out
 
 

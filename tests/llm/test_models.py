@@ -1,0 +1,118 @@
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from revlens.llm import langid, topk, toxicity
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    held = langid.fold_is("doc_id", 3, 1)
+    model = langid.fit(docs.where(~held))
+    out = langid.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(held)
+    row = out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
+    assert row[0] > 0.97 and 0 <= row[1] <= row[2] <= 1
+
+
+def test_language_of_odd_rows(make_docs, odd_texts):
+    docs = make_docs(odd_texts, ids=[None, 1, 1, *range(3, len(odd_texts))])
+    model = langid.fit(docs.where("doc_id > 4"))
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert got[None] == got[1] == got[4] == "und" and got[7] == "en"
+    assert langid.identify(docs.where("false"), model).count() == 0
+    nothing = langid.fit(docs.where("false"))
+    assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_filter_returns_all_languages_and_corrects():
+    r = np.random.default_rng(1)
+    keys = r.integers(0, 2**63, 4000, dtype=np.uint64)
+    masks = r.integers(1, 2**20, (4000, 1), dtype=np.uint64)
+    model = langid.Filter([f"l{k:02}" for k in range(20)], keys, masks, langid.Options(slots_per_key=2))
+    found = model.languages_of(keys)[0].astype(np.uint64)
+    assert (found & masks[:, 0] == masks[:, 0]).all()
+    strange = model.languages_of(r.integers(2**63, 2**64, 20000, dtype=np.uint64))[0]
+    for k in range(20):
+        rate = ((strange >> np.uint32(k)) & np.uint32(1)).mean()
+        assert abs(rate - model.false_rate[k]) < 0.03
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_automaton_equals_edit_distance():
+    r = random.Random(1)
+    word = lambda low, high: "".join(r.choice("abc") for _ in range(r.randint(low, high)))
+    for _ in range(2000):
+        words = {word(3, 9): r.random() for _ in range(4)}
+        stems = {word(3, 6): r.random() for _ in range(3)}
+        w = word(1, 11)
+        hits = [(d, -v) for t, v in words.items() if (d := distance(w, t)) <= toxicity.allowed(len(t))]
+        for t, v in stems.items():
+            near = min((distance(w[:k], t) for k in range(len(w))), default=9)
+            if near <= toxicity.allowed(len(t)):
+                hits.append((near, -v))
+        got = toxicity.Lexicon(words | {t + "*": v for t, v in stems.items()}).find(w)
+        assert (got and (got[1], -got[0])) == (min(hits) if hits else None), (w, words, stems)
+
+
+def test_quotations():
+    tokens = 'he said "you idiot!" and then you idiot left'.split()
+    assert toxicity.quoted(tokens, 3, 8) and not toxicity.quoted(tokens, 7, 8)
+
+
+def test_toxicity_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    held = langid.fold_is("doc_id", 5, 0)
+    model = toxicity.fit(docs, labels.where(~held))
+    rows = toxicity.score(docs, model).join(labels, "doc_id").where(held).collect()
+    toxic = [r.score for r in rows if r.toxic == 1]
+    clean = np.sort([r.score for r in rows if r.toxic == 0])
+    auc = np.mean([np.searchsorted(clean, s) for s in toxic]) / len(clean)
+    assert auc > 0.93
+    assert np.mean(np.array(toxic) >= 0.5) > 0.8 and np.mean(clean >= 0.5) < 0.02
+
+
+def test_toxicity_of_odd_rows(make_docs, odd_texts):
+    docs = make_docs(odd_texts, ids=[None, 1, 1, *range(3, len(odd_texts))])
+    labels = docs.select("doc_id", F.lit(0).alias("toxic")).where("false")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert [r.score for r in rows] == [0.5] * len(odd_texts)
+
+
+@pytest.mark.parametrize("sizes", [{}, dict(head=3, shard_rows=7, query_rows=2, step_rows=2)])
+def test_top_k_equals_brute_force(spark, sizes):
+    r = np.random.default_rng(2)
+    x = [list(map(float, v)) for v in r.integers(-3, 4, (60, 5)) / 4]
+    x += [x[0]] * 10 + [None, [None, 1.0], [float("nan")] * 5, [float("inf"), 0.0], [], [0.5]]
+    ids = list(range(len(x)))
+    ids[11] = None
+    ids[12] = 10
+    rows = [(i, v, "e", 1) for i, v in zip(ids, x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, x string, norm2 int")
+    ints = {}
+    for k, (i, v) in enumerate(zip(ids, x)):
+        if i is not None and v is not None and all(c is not None and np.isfinite(c) for c in v):
+            ints[k] = (i, [int(np.floor(256 * np.float64(np.float32(c)))) for c in v] + [0] * (5 - len(v)))
+    want = []
+    for i, q in ints.values():
+        if i % 10 == 0:
+            found = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in ints.values() if j != i)
+            want.append([(i, k + 1, j, -s) for k, (s, j) in enumerate(found[:5])])
+    out = topk.top_k(df, F.col("vec_id") % 10 == 0, options=topk.Options(**sizes))
+    got = sorted(tuple(r) for r in out.collect())
+    once = sorted({row for rows in want for row in rows})
+    assert sorted({row for row in got if row[0] != 10}) == [row for row in once if row[0] != 10]
+    assert topk.top_k(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0

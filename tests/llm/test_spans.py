@@ -1,0 +1,93 @@
+import random
+import re
+import zlib
+
+from revlens.llm import pii, secret_scan as X
+from tests_llm_prose import sentences
+
+ASSIGN = re.compile(
+    r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
+
+
+def brute_secrets(text):
+    out = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_base_secrets_equal_the_expressions():
+    r = random.Random(1)
+    parts = ["token", "TOKEN", "api_key", "apikey", "secret", "ſecret", "pass", "word", "=", ":", " ", '"', "'",
+             "abc", "deadbeef" * 3, "AKIA", "ABCDEFGH12345678", "İ", "é", "\n", "x=1"]
+    scanner = X.Scanner()
+    for _ in range(20000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        got = [s for s in scanner.spans(text) if s[3] in X.BASE_KINDS]
+        assert got == brute_secrets(text), text
+
+
+def test_checksums_decide():
+    body = "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5"
+    good = "ghp_" + body + X.base62(zlib.crc32(body.encode()), 6)
+    bad = good[:-1] + ("0" if good[-1] != "0" else "1")
+    kinds = lambda t: [s[3] for s in X.Scanner().spans(t)]
+    assert kinds(f"x {good} y") == ["checked"] and kinds(f"x {bad} y") == []
+    assert kinds("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln") == ["jwt"]
+    assert kinds("eyJub3Rqc29u.eyJzdWIiOiIxIn0.c2ln") == []
+    assert kinds("5HueCGU8rMjxEXxiPuD5BDku4MkFqeZyd4dZ1jvhTVqvbTLvyTJ") == ["wallet"]
+    assert kinds("5HueCGU8rMjxEXxiPuD5BDku4MkFqeZyd4dZ1jvhTVqvbTLvyTK") == []
+
+
+def test_secrets_of_odd_rows(make_docs, odd_texts):
+    texts = odd_texts + ['é token = "0123456789abcdef01234567"']
+    docs = make_docs(texts, ids=[None, 1, 1, *range(3, len(texts))])
+    found = X.find_secrets(docs)
+    assert found.count() == len(texts)
+    row = X.digest(found, X.BASE_KINDS, X.base_spans()).where(f"doc_id = {len(texts) - 1}").first()
+    assert (row.n_assign, row.n_hex, row.spans) == (1, 1, "assign:2:35,hex:11:35")
+    clean = X.redact(docs)
+    assert clean.columns == docs.columns
+    assert clean.where(f"doc_id = {len(texts) - 1}").first().text == 'é [assign]"'
+    assert X.redact(docs.where("false")).count() == 0
+
+
+def brute_pii(text):
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        if 12 <= len(re.sub("[^0-9]", "", m[0])) <= 19 and pii.luhn(re.sub("[^0-9]", "", m[0])):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_base_personal_data_equal_the_expressions():
+    r = random.Random(2)
+    parts = [*"aZ0@.+-_ ()", "1.2", "255.", ".1", "@b.c", "+1 ", "4111 1111 1111 1111", "é", "٣", "0256", "00001"]
+    for _ in range(20000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 14)))
+        assert pii.base_spans(text) == brute_pii(text), text
+
+
+def test_field_adds_what_the_expressions_miss(make_docs, odd_texts):
+    r = random.Random(3)
+    number = lambda: f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
+    texts = [f"{sentences(k, 20)} {number()} {sentences(k + 1, 9)} joe.{k}@mail{k}.example.com {sentences(k + 2, 5)}" for k in range(200)]
+    texts += [f"{sentences(k, 9)} {r.randint(10**15, 10**16)} {sentences(k, 9)}" for k in range(40)]
+    field = pii.fit(make_docs(texts))
+
+    def kinds(text):
+        return [(pii.KINDS[k], text[s:e]) for s, k, e in pii.all_spans(text, field, pii.base_spans(text))]
+
+    assert kinds("call (443) 555-1234 now") == [("phone", "(443) 555-1234")]
+    assert kinds("to ann.5 (at) mail5.example.com today") == [("email", "ann.5 (at) mail5.example.com")]
+    assert kinds(sentences(9)) == [] and kinds("in 1995-2003 there were 12345 of them") == []
+    docs = make_docs(odd_texts + texts[:1], ids=[None, 1, 1, *range(3, len(odd_texts) + 1)])
+    assert pii.find_personal(docs, field).count() == len(odd_texts) + 1
+    assert pii.find_personal(docs, pii.fit(docs.where("false"))).count() == len(odd_texts) + 1
