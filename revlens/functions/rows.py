@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+# Parts of a group that are ranked on their own.
+BUCKETS = 64
 
 
 def each(df: DataFrame, array: Column | str, *keep: str | Column, name: str) -> DataFrame:
@@ -10,3 +13,25 @@ def each(df: DataFrame, array: Column | str, *keep: str | Column, name: str) ->
     ``size(array) > 0`` first, below every projection, which would compute an
     array of tokens several times; an outer one does not."""
     return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def largest(
+    df: DataFrame, limit: int, *group: str, by: tuple[Column, ...], key: str, buckets: int = BUCKETS
+) -> DataFrame:
+    """The first ``limit`` rows of each group in the order ``by``, with ``rank``.
+
+    Rows are ranked inside hash parts of a group first, and only the first
+    ``limit`` of each part meet in the group's own ranking: exact, and no task
+    sorts a whole group. ``by`` must end in ``key``, so that ties are settled.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(buckets))
+    inside = Window.partitionBy(*group, "_part").orderBy(*by)
+    whole = Window.partitionBy(*group).orderBy(*by)
+    return (
+        df.withColumn("_part", part)
+        .withColumn("rank", F.row_number().over(inside))
+        .where(F.col("rank") <= limit)
+        .withColumn("rank", F.row_number().over(whole))
+        .where(F.col("rank") <= limit)
+        .drop("_part")
+    )

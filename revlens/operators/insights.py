@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revlens.functions import text as X
-from revlens.functions.rows import each
+from revlens.functions.rows import each, largest
 from revlens.functions.vectors import signed_weight
 from revlens.settings import KEYWORD_SEEDS, STOPWORDS
 
@@ -93,8 +93,7 @@ def word_frequencies(words: DataFrame) -> DataFrame:
 
 def top_words(counts: DataFrame, limit: int = 120) -> DataFrame:
     """The most frequent terms per class, scaled to the first one."""
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "term"))
-    best = counts.withColumn("rank", rank).where(F.col("rank") <= limit)
+    best = largest(counts, limit, "label", by=(F.desc("n"), F.col("term")), key="term")
     # At most `limit` rows per class.
     biggest = F.max("n").over(Window.partitionBy("label"))
     return best.select("label", "term", "n", (F.col("n") / biggest).alias("relative"))

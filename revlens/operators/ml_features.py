@@ -184,7 +184,7 @@ class ReviewVectors(Estimator):
 
     MLlib keeps one matrix of vocabulary x vector size in the driver and in each
     task; ``min_count`` is the bound on it. Training is spread over
-    ``partitions`` tasks.
+    ``partitions`` tasks, over rows (row_id, text).
     """
 
     def __init__(self, options: Word2VecOptions = Word2VecOptions(), seed: int = 42):
@@ -195,13 +195,17 @@ class ReviewVectors(Estimator):
     def _fit(self, docs: DataFrame) -> PipelineModel:
         o = self.options
         split = ReviewTokens()
-        sentences = split.transform(docs.select("text")).select("terms")
+        # Laid out by row, whatever the number of cores or of input files.
+        laid = docs.select("row_id", "text").repartition(o.partitions, "row_id")
+        laid = laid.sortWithinPartitions("row_id")
+        sentences = split.transform(laid).select("terms")
         trainer = Word2Vec(
             vectorSize=o.vector_size,
             windowSize=o.window,
             minCount=o.min_count,
             maxIter=o.epochs,
-            numPartitions=o.partitions or docs.sparkSession.sparkContext.defaultParallelism,
+            numPartitions=o.partitions,
+            maxSentenceLength=o.max_sentence,
             seed=self.seed_value,
             inputCol="terms",
             outputCol="mean_all",

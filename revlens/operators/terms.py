@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revlens.functions import text as X
-from revlens.functions.rows import each
+from revlens.functions.rows import each, largest
 from revlens.settings import TfidfOptions
 
 
@@ -124,10 +124,8 @@ def fold_vocabularies(
     # One row per fold.
     every = Window.partitionBy(F.lit(1))
     sizes = per_fold.select("fold", (F.sum("n").over(every) - F.col("n")).alias("n_train"))
-    best = Window.partitionBy("fold").orderBy(F.desc("tf"), "term")
+    best = largest(stats, options.max_features, "fold", by=(F.desc("tf"), F.col("term")), key="term")
     return (
-        stats.withColumn("_rank", F.row_number().over(best))
-        .where(F.col("_rank") <= options.max_features)
-        .join(F.broadcast(sizes), "fold")
+        best.join(F.broadcast(sizes), "fold")
         .select("fold", "term", "tf", "df", smooth_idf(F.col("df"), F.col("n_train")).alias("idf"))
     )

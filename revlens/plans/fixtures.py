@@ -28,12 +28,14 @@ CANDIDATES = (
 )
 
 
-TEXT_KEYS = {"documents": "doc_id", "conversations": "conv_id", "benchmark": "item_id"}
+TEXT_KEYS = {"documents": ("doc_id",), "conversations": ("conv_id", "turn"), "benchmark": ("item_id",)}
+# The given folders hold one row group a table.
+TEXT_PARTITIONS = 8
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    return spread(df, TEXT_PARTITIONS, *TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

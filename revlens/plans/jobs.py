@@ -30,6 +30,8 @@ class PrepareConfig:
     input_format: str = "parquet"
     output_format: str = "parquet"
     dedupe: bool = True
+    # For a small input of few file splits: deal its rows out to so many tasks.
+    input_partitions: int | None = None
 
 
 @dataclass(frozen=True)
@@ -37,12 +39,15 @@ class CompareConfig:
     prepared: str
     out: str
     prepared_format: str = "parquet"
+    input_partitions: int | None = None
     options: CompareOptions = field(default_factory=CompareOptions)
 
 
 def prepare(spark: SparkSession, cfg: PrepareConfig) -> DataFrame:
     """Write ``out/prepared`` and ``out/summary``; return the summary row."""
-    raw = readers.spread(readers.read_raw(spark, cfg.input, cfg.input_format), "row_id")
+    raw = readers.spread(
+        readers.read_raw(spark, cfg.input, cfg.input_format), cfg.input_partitions, "row_id"
+    )
     scratch = Scratch(spark)
     # The texts are cleaned once, for the rows and for the counts.
     tagged = scratch.table(P.tag_rows(raw), "tagged")
@@ -75,7 +80,9 @@ def compare(spark: SparkSession, cfg: CompareConfig) -> PipelineModel:
     o = cfg.options
     scratch = Scratch(spark)
     source = readers.spread(
-        readers.read_prepared(spark, cfg.prepared, cfg.prepared_format), "row_id"
+        readers.read_prepared(spark, cfg.prepared, cfg.prepared_format),
+        cfg.input_partitions,
+        "row_id",
     )
     # Cleaned once; a few columns of it are read many times.
     rows = scratch.table(
@@ -97,7 +104,7 @@ def compare(spark: SparkSession, cfg: CompareConfig) -> PipelineModel:
     writers.write_report(fold_results(metrics).orderBy(*keys, "fold"), f"{cfg.out}/fold_metrics")
     writers.write_report(found.status, f"{cfg.out}/status")
     reports = E.report_documents(E.class_report(oof, "feature", "model"), "feature", "model")
-    writers.write_table(reports, f"{cfg.out}/reports", "json", ("feature", "model"))
+    writers.write_table(reports, f"{cfg.out}/reports", "text", ("feature", "model"))
 
     best = ranked.limit(1)
     winner = best.first()

@@ -83,9 +83,13 @@ class Word2VecOptions:
     window: int = 5
     min_count: int = 1
     epochs: int = 60
-    # MLlib trains one model copy per partition and merges the copies after
-    # each epoch. None takes the cluster's default parallelism.
-    partitions: int | None = None
+    # MLlib trains one model copy per partition and merges the copies after each
+    # epoch, so the vectors depend on this number, and on nothing of the cluster.
+    # With 1 they are reproducible to the last digit, in one task; with more, the
+    # order in which copies are added may change last digits.
+    partitions: int = 8
+    # MLlib cuts longer texts, and loses the windows across the cuts.
+    max_sentence: int = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -104,6 +108,7 @@ class CompareOptions:
     features: tuple[str, ...] = FEATURES
     models: tuple[str, ...] = MODELS
     linear_iterations: int = 2500
+    svm_iterations: int = 2500
     # Fits submitted at the same time by the driver.
     parallel_fits: int = 4
     stop_on_error: bool = False

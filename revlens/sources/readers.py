@@ -47,12 +47,11 @@ def require_columns(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
     return df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give an input of few file splits as many tasks as there are cores. The
-    text functions are bound by the processor, and one Parquet row group is one
-    task. A large input has more splits than cores and is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+def spread(df: DataFrame, partitions: int | None, *key: str) -> DataFrame:
+    """Deal an input of few file splits out to ``partitions`` tasks, if the caller
+    asks for it: one Parquet row group is one task, and the text functions are
+    bound by the processor. None leaves the input as it is."""
+    return df if partitions is None else df.repartition(partitions, *key)
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:

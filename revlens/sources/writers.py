@@ -57,6 +57,7 @@ def prediction_frame(scored: DataFrame, *keys: str) -> DataFrame:
         "prediction",
         X.label_title(F.col("prediction")).alias("prediction_name"),
         "score",
+        *(c for c in scored.columns if c == "score_kind"),
     )
 
 

@@ -172,3 +172,13 @@ def test_linear_weights_match_the_vocabulary(rows):
     model = CV.fit_final(rows, "tfidf", "logistic_regression", OPTIONS)
     weights = {r.term: r.weight for r in CV.linear_weights(model).collect()}
     assert weights["enak"] > 0 > weights["mahal"]
+
+
+def test_word_vectors_do_not_depend_on_how_rows_are_laid_out(inputs):
+    rows = inputs.prepared.select("row_id", "text").where("row_id < 60")
+    options = Word2VecOptions(vector_size=4, epochs=2, partitions=1)
+    found = [
+        MF.ReviewVectors(options, 3).fit(df).stages[1].getVectors().orderBy("word").collect()
+        for df in (rows.repartition(7), rows.coalesce(1).orderBy(F.desc("row_id")))
+    ]
+    assert found[0] == found[1]

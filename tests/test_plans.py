@@ -80,6 +80,13 @@ def test_auc_windows_are_bounded(inputs, scratch):
     assert any(re.search(r"windowspecdefinition\(candidate_id#\d+, range#\d+", w) for w in windows)
 
 
+def test_large_top_k_ranks_parts_of_a_group_first(inputs):
+    words = I.word_frequencies(I.content_words(inputs.prepared))
+    text = plan(I.top_words(words, 12000))
+    assert re.search(r"hashpartitioning\(label#\d+, _part#\d+", text)
+    assert re.search(r"windowspecdefinition\(label#\d+, _part#\d+", text)
+
+
 @pytest.mark.parametrize("limit", [20, 120])
 def test_top_k_is_limited_before_the_shuffle(inputs, limit):
     words = I.word_frequencies(I.content_words(inputs.prepared))
