@@ -9,8 +9,8 @@ similar sets. Equal texts are one set from the start. Then
 2. a pair's similarity is estimated by maximum likelihood over the registers that
    are larger, smaller and equal, with the known set sizes; pairs near enough join
    sets into clusters;
-3. sets that share a bucket but not a cluster are paired too, the lesser clusters
-   of the bucket against the rest, so nothing depends on who was smallest;
+3. sets that share a bucket but not a cluster are compared too, block by block
+   where the bucket's sketches lie, so nothing depends on who was smallest;
 4. inside a cluster all pairs are confirmed on full sets, block by block: a set is
    written as its difference from the cluster's first set, which is small, and a
    block pair yields only the links that connect something new.
@@ -47,6 +47,7 @@ class Options:
     rate: float = 20.0
     near: float = 0.6
     block: int = 96
+    bucket_block: int = 256
 
     @property
     def registers(self) -> int:
@@ -211,6 +212,97 @@ def _near(pairs: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def dealt_in_blocks(df: DataFrame, *group: str) -> DataFrame:
+    """Rows (group, sid, blocks, ..) dealt to the pairs (i, j) of their group's
+    blocks, a group's pair together and in order; ``right`` marks block j."""
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    split = df.withColumn("own", own).withColumn("other", other)
+    dealt = split.select(
+        *[c for c in df.columns if c != "blocks"],
+        F.least("own", "other").alias("i"),
+        F.greatest("own", "other").alias("j"),
+        (F.col("own") > F.col("other")).alias("right"),
+    )
+    return dealt.repartition(*group, "i", "j").sortWithinPartitions(*group, "i", "j")
+
+
+def groups_of(
+    batches: Iterator[pa.RecordBatch], *keys: str
+) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Whole groups of equal keys from sorted batches, with where each begins."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        values = [held.column(c).to_numpy() for c in keys]
+        cuts = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        if len(cuts):
+            yield held.slice(0, cuts[-1]), np.r_[0, cuts]
+            held = held.slice(cuts[-1]).combine_chunks()
+    if held is not None and len(held):
+        yield held, np.array([0, len(held)])
+
+
+def _cross(mixed: DataFrame, sets: DataFrame, o: Options) -> DataFrame:
+    """Near pairs (a, b) between different clusters of a bucket, found where the
+    bucket's sketches lie, so that pairs which are not near are never rows. Of the
+    near ones, only those that connect something new are."""
+    wide = mixed.join(sets.select("sid", "n", "sketch"), "sid")
+    dealt = dealt_in_blocks(wide, "band", "value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cuts in groups_of(batches, "band", "value", "i", "j"):
+            sid, root, n, right, i, j = (
+                table.column(c).to_numpy() for c in ("sid", "root", "n", "right", "i", "j")
+            )
+            raw = table.column("sketch").to_pylist()
+            a, b = [], []
+            for low, high in zip(cuts, cuts[1:]):
+                regs = np.frombuffer(b"".join(raw[low:high]), "<u2").reshape(-1, o.registers)
+                size, own = n[low:high].astype(float), root[low:high]
+                may = np.triu(own[:, None] != own[None, :], 1)
+                may &= np.minimum.outer(size, size) * 100 >= np.maximum.outer(size, size) * o.percent
+                if i[low] != j[low]:
+                    may &= right[low:high, None] != right[None, low:high]
+                x, y = np.nonzero(may)
+                near = np.zeros(len(x), bool)
+                for at in range(0, len(x), 2000):
+                    p, q = x[at : at + 2000], y[at : at + 2000]
+                    near[at : at + 2000] = estimates(regs[p], regs[q], size[p], size[q], o) >= o.near
+                for p, q in forest(x[near], y[near], high - low, own):
+                    a.append(sid[low + p])
+                    b.append(sid[low + q])
+            if a:
+                yield kit.columns(a=np.array(a, np.int64), b=np.array(b, np.int64))
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def forest(
+    x: np.ndarray, y: np.ndarray, count: int, root: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """The pairs that connect something new; rows of one root are connected."""
+    parent = list(range(count))
+    if root is not None:
+        first: dict[int, int] = {}
+        parent = [first.setdefault(r, k) for k, r in enumerate(root.tolist())]
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = parent[k]
+        return k
+
+    out = []
+    for p, q in zip(x.tolist(), y.tolist()):
+        s, t = top(p), top(q)
+        if s != t:
+            parent[t] = s
+            out.append((p, q))
+    return out
+
+
 def _clusters(sets: DataFrame, stage: kit.Stage, o: Options) -> DataFrame:
     """(node, root) of the sets that may have links; links stay inside roots."""
     banded = _banded(sets, o)
@@ -232,22 +324,13 @@ def _clusters(sets: DataFrame, stage: kit.Stage, o: Options) -> DataFrame:
         ),
         "placed",
     )
-    sizes = placed.groupBy("band", "value", "root").agg(F.count("*").alias("m"))
     mixed = (
-        sizes.groupBy("band", "value")
-        .agg(F.count("*").alias("roots"), F.max(F.struct("m", "root")).alias("largest"))
-        .where("roots > 1")
-        .select("band", "value", F.col("largest.root").alias("main"))
-    )
-    lesser = placed.join(mixed, ["band", "value"]).where("root <> main")
-    others = placed.select("band", "value", F.col("sid").alias("other"), F.col("root").alias("other_root"))
-    cross = (
-        lesser.join(others, ["band", "value"])
-        .where("root <> other_root")
-        .select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
-        .distinct()
+        placed.groupBy("band", "value")
+        .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"))
+        .where("low <> high")
+        .select("band", "value", F.ceil(F.col("m") / F.lit(o.bucket_block)).cast("long").alias("blocks"))
     )
-    more = stage.table(_near(cross, sets, o), "more_edges")
+    more = stage.table(_cross(placed.join(mixed, ["band", "value"]), sets, o), "more_edges")
     stage.drop(members, placed)
     if more.isEmpty():
         return roots
@@ -285,33 +368,13 @@ def _links(full: DataFrame, stage: kit.Stage, o: Options) -> DataFrame:
         full.join(first, "root")
         .join(sizes, "root")
         .where("members > 1")
-        .select(
-            "sid", "root", "n", differ.alias("items"), blocks.alias("blocks"),
-            F.pmod(F.xxhash64("sid"), blocks).alias("own"),
-        )
-    )
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = split.withColumn("other", other).select(
-        "root",
-        F.least("own", "other").alias("i"),
-        F.greatest("own", "other").alias("j"),
-        (F.col("own") > F.col("other")).alias("right"),
-        "sid", "n", "items",
-    )
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+        .select("sid", "root", "n", differ.alias("items"), blocks.alias("blocks"))
+    )
+    dealt = dealt_in_blocks(split, "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([held.column(c).to_numpy() for c in ("root", "i", "j")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1
-            if len(cuts):
-                yield from _confirmed(held.slice(0, cuts[-1]), np.r_[0, cuts], o)
-                held = held.slice(cuts[-1]).combine_chunks()
-        if held is not None and len(held):
-            yield from _confirmed(held, np.array([0, len(held)]), o)
+        for table, cuts in groups_of(batches, "root", "i", "j"):
+            yield from _confirmed(table, cuts, o)
 
     return dealt.mapInArrow(run, "a bigint, b bigint")
 
@@ -353,21 +416,8 @@ def linked(
     link = 100 * (both - apart) >= o.percent * (both + apart)
     if right is not None:
         link &= right[:, None] != right[None, :]
-    parent = list(range(count))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x, y in zip(*np.nonzero(np.triu(link, 1))):
-        p, q = top(int(x)), top(int(y))
-        if p != q:
-            parent[q] = p
-            out.append((int(x), int(y)))
-    return out
+    x, y = np.nonzero(np.triu(link, 1))
+    return forest(x, y, count)
 
 
 def near_duplicates(

@@ -161,8 +161,8 @@ class Library:
             and not splits.get("add_prefix_space")
             and form["normalizer"] is None
         )
-        self.words = TwoGenerations(300_000)
-        self.parts = TwoGenerations(400_000)
+        self.words = TwoGenerations(150_000)
+        self.parts = TwoGenerations(250_000)
         if self.in_parts:
             self.unsplit = Tokenizer.from_file(path)
             lines = pre_tokenizers.Split("\n", "isolated")

@@ -48,7 +48,7 @@ def found(df, options=N.Options()):
     return sorted((r.doc_id, r.n_shingles, r.component_id) for r in out.collect())
 
 
-@pytest.mark.parametrize("options", [N.Options(), N.Options(block=4)])
+@pytest.mark.parametrize("options", [N.Options(), N.Options(block=4, bucket_block=3)])
 def test_equal_to_brute_force(make_docs, odd_texts, options):
     base = sentences(1, 200)
     texts = odd_texts + [edited(base, 0.03 + 0.004 * k, k) for k in range(25)]
