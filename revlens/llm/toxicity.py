@@ -75,15 +75,19 @@ class Lexicon:
 
     def find(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the best term for a word: fewest edits, then most
-        weight. A stem matches a word that goes on after it."""
+        weight. A stem matches a word that goes on after it. A misspelling keeps
+        the first letter, so only one branch of the root is looked at."""
+        branch = self.root.children.get(word[:1])
+        if branch is None:
+            return None
         place: dict[str, int] = {}
-        for k, ch in enumerate(word):
+        for k, ch in enumerate(word[1:]):
             place[ch] = place.get(ch, 0) | 1 << k
-        end = 1 << len(word)
+        end = 1 << len(word) - 1
         every = (end << 1) - 1
         best: tuple[int, float] | None = None
         # Positions in the word that no edit, and one edit, can have reached.
-        todo = [(self.root, 1, 3 & every)]
+        todo = [(branch, 1, 3 & every)]
         while todo:
             node, exact, edited = todo.pop()
             if node.word is not None or node.stem is not None:

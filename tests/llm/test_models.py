@@ -58,8 +58,14 @@ def test_automaton_equals_edit_distance():
         words = {word(3, 9): r.random() for _ in range(4)}
         stems = {word(3, 6): r.random() for _ in range(3)}
         w = word(1, 11)
-        hits = [(d, -v) for t, v in words.items() if (d := distance(w, t)) <= toxicity.allowed(len(t))]
+        hits = [
+            (d, -v)
+            for t, v in words.items()
+            if t[0] == w[0] and (d := distance(w, t)) <= toxicity.allowed(len(t))
+        ]
         for t, v in stems.items():
+            if t[0] != w[0]:
+                continue
             near = min((distance(w[:k], t) for k in range(len(w))), default=9)
             if near <= toxicity.allowed(len(t)):
                 hits.append((near, -v))
