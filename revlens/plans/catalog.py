@@ -600,6 +600,7 @@ def dashboard(i: Inputs) -> DataFrame:
 # Small trees and few rounds: the queries show the operators, not the best model.
 SMALL = CompareOptions(
     folds=2,
+    svm_iterations=100,
     parallel_fits=5,
     word2vec=Word2VecOptions(vector_size=16, epochs=2),
     trees=TreeOptions(forest_trees=8, extra_trees=8, boosting_rounds=4, max_depth=4),

@@ -108,7 +108,8 @@ class CompareOptions:
     features: tuple[str, ...] = FEATURES
     models: tuple[str, ...] = MODELS
     linear_iterations: int = 2500
-    svm_iterations: int = 2500
+    # Of the linear SVM; None is the number above.
+    svm_iterations: int | None = None
     # Fits submitted at the same time by the driver.
     parallel_fits: int = 4
     stop_on_error: bool = False

@@ -57,7 +57,9 @@ def test_reports(spark, run, inputs):
     one = oof.where("feature = 'tfidf' AND model = 'linear_svm'")
     texts = {r.row_id: r.text for r in one.collect()}
     assert texts == {r.row_id: r.text for r in inputs.prepared.collect()}
-    assert spark.read.json(f"{out}/reports").count() == 6
+    reports = spark.read.json(f"{out}/reports")
+    assert reports.count() == 6 and {"Negatif", "macro avg", "accuracy"} <= set(reports.columns)
+    assert "score_kind" in oof.columns
     cells = spark.read.csv(f"{out}/best_confusion", header=True, inferSchema=True)
     assert cells.agg(F.sum("n")).first()[0] == 120
 
