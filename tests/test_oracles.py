@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from revlens.plans import catalog, oracles
 from check_oracles import compare, connect
 from tests.conftest import SF_DIR
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = oracles.sql()
+QUERIES = catalog.registered()
 
 
 @pytest.fixture(scope="module")
