@@ -2,9 +2,10 @@
 
 The lexicon (words and word stems with their weights) is learned from labelled
 texts. To look a word up, the nondeterministic Levenshtein automaton of the word (one
-edit), held as one bit set for each number of edits, runs along the trie; a
-branch ends when no state is left, so misspelled terms are found without listing
-them.
+edit), held as one bit set for each number of edits, runs along the trie's branch
+of the word's first letter; a branch ends when no state is left, so misspelled
+terms are found without listing them. Where the one edit falls on the first
+letter, nothing after it differs, so those terms are looked up as they stand.
 
 A hit inside a quotation counts apart from a hit in the writer's own voice, and a
 hit near an address (a second person) apart from others. A logistic regression
@@ -64,19 +65,50 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float]):
         self.root = Node()
+        # Terms that forgive an edit, whole and without their first letter.
+        self.words: dict[str, float] = {}
+        self.stems: dict[str, float] = {}
+        self.word_tails: dict[str, float] = {}
+        self.stem_tails: dict[str, float] = {}
         for term, weight in terms.items():
+            body = term.rstrip("*")
+            if allowed(len(body)):
+                stem = term.endswith("*")
+                whole, tails = (self.stems, self.stem_tails) if stem else (self.words, self.word_tails)
+                whole[body] = weight
+                tails[body[1:]] = max(weight, tails.get(body[1:], weight))
             node = self.root
-            for ch in term.rstrip("*"):
+            for ch in body:
                 node = node.children.setdefault(ch, Node(depth=node.depth + 1))
             if term.endswith("*"):
                 node.stem = weight
             else:
                 node.word = weight
+        self.stem_sizes = sorted({len(s) for s in self.stems})
 
-    def find(self, word: str) -> tuple[float, int] | None:
+    def nearest(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the best term for a word: fewest edits, then most
-        weight. A stem matches a word that goes on after it. A misspelling keeps
-        the first letter, so only one branch of the root is looked at."""
+        weight. A stem matches a word that goes on after it."""
+        found = self.find(word)
+        if found and not found[1]:
+            return found
+        weights = [found[0]] if found else []
+        rest = word[1:]
+        # The first letter replaced; left out of the word; one put before it.
+        weights += [self.word_tails.get(rest), self.word_tails.get(word), self.words.get(rest)]
+        for n in self.stem_sizes:
+            if n <= len(word):
+                weights.append(self.stem_tails.get(word[: n - 1]))
+            if n < len(word):
+                weights.append(self.stem_tails.get(word[1:n]))
+            if n + 1 < len(word):
+                weights.append(self.stems.get(word[1 : n + 1]))
+        best = max((w for w in weights if w is not None), default=None)
+        return None if best is None else (best, 1)
+
+    def find(self, word: str) -> tuple[float, int] | None:
+        """The same among the terms of the word's first letter, whose edit comes
+        after it: one branch of the root."""
         branch = self.root.children.get(word[:1])
         if branch is None:
             return None
@@ -120,7 +152,7 @@ class Scorer:
         out = []
         for token in tokens:
             word = _EDGES.sub("", token)
-            found = self.lexicon.find(word) if 3 <= len(word) <= 40 else None
+            found = self.lexicon.nearest(word) if 3 <= len(word) <= 40 else None
             out.append(found or NONE)
         return out
 

@@ -73,6 +73,28 @@ def test_automaton_equals_edit_distance():
         assert (got and (got[1], -got[0])) == (min(hits) if hits else None), (w, words, stems)
 
 
+def test_nearest_equals_edit_distance_of_any_first_letter():
+    r = random.Random(2)
+    word = lambda low, high: "".join(r.choice("abc") for _ in range(r.randint(low, high)))
+    for _ in range(3000):
+        words = {word(3, 9): r.random() for _ in range(4)}
+        stems = {word(3, 8): r.random() for _ in range(3)}
+        w = word(1, 11)
+        hits = [(d, -v) for t, v in words.items() if (d := distance(w, t)) <= toxicity.allowed(len(t))]
+        for t, v in stems.items():
+            near = min((distance(w[:k], t) for k in range(len(w))), default=9)
+            if near <= toxicity.allowed(len(t)):
+                hits.append((near, -v))
+        got = toxicity.Lexicon(words | {t + "*": v for t, v in stems.items()}).nearest(w)
+        assert (got and (got[1], -got[0])) == (min(hits) if hits else None), (w, words, stems)
+
+
+def test_misspelled_first_letters_are_hits():
+    scorer = toxicity.Scorer(toxicity.Lexicon({"idiot": 4.0, "moron*": 3.0}), toxicity.Options())
+    for w in ("idiot", "fdiot", "diot", "xidiot", "1diot", "morons", "norons", "orons", "xmorons"):
+        assert scorer.features(f"what an {w} it was")[-1] == 0.2, w
+
+
 def test_quotations():
     tokens = 'he said "you idiot!" and then you idiot left'.split()
     assert toxicity.quoted(tokens, 3, 8) and not toxicity.quoted(tokens, 7, 8)
