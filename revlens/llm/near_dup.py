@@ -420,24 +420,18 @@ def linked(
     return forest(x, y, count)
 
 
-def near_duplicates(
-    df: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(k1, k2, id, n_shingles, component_id) for each row: the row's key, its number
-    of distinct shingles, and the smallest id that links reach.
-
-    A null or blank text has no shingles and is its own component. Rows that
-    repeat an id and a text share their component; a null id is never smallest,
-    and a component of null ids alone has a null. Empty tables give no rows.
-    """
-    o = options
-    stage = kit.Stage(df.sparkSession)
+def _labelled(
+    df: DataFrame, stage: kit.Stage, o: Options, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame]:
+    """The rows (k1, k2, d1, d2, key, n), and the sets (d1, d2, least, pick, root):
+    a set's smallest id, and its row of smallest (id, k1, k2), null ids last."""
     k1, k2 = row_keys(df, id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = df.select(k1.alias("k1"), k2.alias("k2"), F.col(id_col).alias("key"), text.alias("text"))
     rows = stage.table(_sketched(keyed, o), "rows")
     groups = rows.where("n > 0").groupBy("d1", "d2").agg(
         F.min("key").alias("least"),
+        F.min(F.struct(F.col("key").isNull().alias("none"), "key", "k1", "k2")).alias("pick"),
         F.max("n").alias("n"),
         F.first("sketch", ignorenulls=True).alias("sketch"),
         F.min(F.struct("k1", "k2")).alias("from"),
@@ -452,9 +446,24 @@ def near_duplicates(
     links = stage.table(_links(full, stage, o), "links")
     stage.drop(full)
     roots = components(links, stage)
-    labelled = sets.join(roots, F.col("sid") == F.col("node"), "left").select(
-        "d1", "d2", "least", F.coalesce("root", "sid").alias("root")
+    return rows, sets.join(roots, F.col("sid") == F.col("node"), "left").select(
+        "d1", "d2", "least", "pick", F.coalesce("root", "sid").alias("root")
     )
+
+
+def near_duplicates(
+    df: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(k1, k2, id, n_shingles, component_id) for each row: the row's key, its number
+    of distinct shingles, and the smallest id that links reach.
+
+    A null or blank text has no shingles and is its own component. Rows that
+    repeat an id and a text share their component; a null id is never smallest,
+    and a component of null ids alone has a null. Empty tables give no rows.
+    """
+    o = options
+    stage = kit.Stage(df.sparkSession)
+    rows, labelled = _labelled(df, stage, o, id_col, text_col)
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component"))
     by_set = stage.table(labelled.join(smallest, "root").select("d1", "d2", "component"), "by_set")
     return rows.join(by_set, ["d1", "d2"], "left").select(
@@ -477,3 +486,18 @@ def one_of_each(
     names = ["k1", "k2"]
     own = df.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
     return own.join(kept, names, "left_semi").select("row.*")
+
+
+def first_of_each(
+    df: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Exactly one row of each component, with all columns: that of the smallest
+    id, null ids last, then of the smallest key. Of rows that repeat its id and
+    text one stays, as for a blank text, which has no other row in its component."""
+    rows, labelled = _labelled(df, kit.Stage(df.sparkSession), options, id_col, text_col)
+    picked = labelled.groupBy("root").agg(F.min("pick").alias("pick")).select("pick.k1", "pick.k2")
+    blank = rows.where("n = 0").select("k1", "k2").distinct()
+    k1, k2 = row_keys(df, id_col, text_col)
+    own = df.select(F.struct("*").alias("row"), k1.alias("k1"), k2.alias("k2"))
+    kept = own.join(picked.unionByName(blank), ["k1", "k2"], "left_semi")
+    return kept.dropDuplicates(["k1", "k2"]).select("row.*")

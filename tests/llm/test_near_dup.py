@@ -73,6 +73,23 @@ def test_one_of_each(make_docs):
     assert N.one_of_each(docs.where("false")).count() == 0
 
 
+def test_first_of_each_keeps_one_row(make_docs):
+    texts = [sentences(1)] * 3 + [edited(sentences(3, 200), 0.01, 1), sentences(3, 200)] + [sentences(2)] * 3
+    texts += [sentences(4), sentences(5), sentences(6), sentences(6), None, None, ""]
+    ids = [7, 7, 8, 9, 9, None, None, None, 7, 9, None, 6, 5, 5, None]
+    docs = make_docs(texts, ids=ids)
+    kept = N.first_of_each(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r.doc_id or 0, r.text or "") for r in kept.collect())
+    near = [t for d, t in got if d == 9 and t != sentences(5)]
+    assert len(near) == 1 and near[0] in texts[3:5]
+    got.remove((9, near[0]))
+    assert got == sorted(
+        [(7, sentences(1)), (7, sentences(4)), (9, sentences(5)), (0, sentences(2)), (6, sentences(6)), (5, ""), (0, "")]
+    )
+    assert N.first_of_each(docs.where("false")).count() == 0
+
+
 def test_estimates_follow_the_similarity():
     o = N.Options()
     r = np.random.default_rng(1)

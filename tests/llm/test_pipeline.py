@@ -50,3 +50,16 @@ def test_run(spark, tmp_path, make_docs, vocabulary):
 
     assert ids[-1] == 1 and own.decode(np.array(ids[:-1], "<u4").tobytes()) == sentences(1)
     assert {d for d, _, _ in parts} == {0, 3, 4, 5}
+
+
+def test_repeated_rows_leave_one_whole_document(spark, tmp_path, make_docs):
+    near = sentences(3, 300)
+    texts = [sentences(1)] * 2 + [sentences(2)] * 3 + [near, near + " more"]
+    docs = make_docs(texts, ids=[1, 1, None, None, None, 3, 3])
+    for name, stage in P.STAGES[1:3]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    got = {(r.doc_id, r.text) for r in docs.collect()}
+    assert docs.count() == len(got) == 3
+    assert {(1, sentences(1)), (None, sentences(2))} < got
+    assert {(3, near), (3, near + " more")} & got
