@@ -27,8 +27,6 @@ from revlens.settings import (
     DOMAIN_STOPWORDS,
     GENERAL_STOPWORDS,
     CompareOptions,
-    TreeOptions,
-    Word2VecOptions,
 )
 from revlens.sources import readers, writers
 from revlens.streaming import flows
@@ -597,14 +595,7 @@ def dashboard(i: Inputs) -> DataFrame:
 
 # --- models (rows only) ----------------------------------------------------
 
-# Small trees and few rounds: the queries show the operators, not the best model.
-SMALL = CompareOptions(
-    folds=2,
-    svm_iterations=100,
-    parallel_fits=5,
-    word2vec=Word2VecOptions(vector_size=16, epochs=2),
-    trees=TreeOptions(forest_trees=8, extra_trees=8, boosting_rounds=4, max_depth=4),
-)
+FULL = CompareOptions()
 
 
 def _training(i: Inputs) -> DataFrame:
@@ -613,30 +604,30 @@ def _training(i: Inputs) -> DataFrame:
 
 def w2v_vectors(i: Inputs) -> DataFrame:
     rows = _training(i)
-    model = MF.ReviewVectors(SMALL.word2vec, SMALL.seed).fit(rows)
+    model = MF.ReviewVectors(FULL.word2vec, FULL.seed).fit(rows)
     vectors = model.transform(rows).select("row_id", V.vector_values(F.col("features")).alias("v"))
     return vectors.select("row_id", F.array_join(F.transform("v.values", lambda x: F.round(x, 4)), ",").alias("vector"))
 
 
 def lr_top_words(i: Inputs) -> DataFrame:
-    model = CV.fit_final(_training(i), "tfidf", "logistic_regression", SMALL)
+    model = CV.fit_final(_training(i), "tfidf", "logistic_regression", FULL)
     return I.top_weighted_terms(CV.linear_weights(model), stopwords=FX.STOPWORDS)
 
 
 def cv_grid(i: Inputs) -> DataFrame:
-    found = CV.compare(_training(i), SMALL, i.scratch)
+    found = CV.compare(_training(i), FULL, i.scratch)
     metrics = E.fold_and_pooled_metrics(found.predictions, *CANDIDATE, scratch=i.scratch)
-    return _with_rank(E.rank_candidates(pooled_results(metrics, SMALL.folds)))
+    return _with_rank(E.rank_candidates(pooled_results(metrics, FULL.folds)))
 
 
 def score_reviews(i: Inputs) -> DataFrame:
-    model = CV.fit_final(_training(i), "tfidf", "linear_svm", SMALL)
+    model = CV.fit_final(_training(i), "tfidf", "linear_svm", FULL)
     reviews = i.table("conversations").select("conv_id", "turn", "text")
     return SC.score_reviews(reviews, model).drop("text")
 
 
 def stream_scores(i: Inputs) -> DataFrame:
-    model = CV.fit_final(_training(i), "tfidf", "logistic_regression", SMALL)
+    model = CV.fit_final(_training(i), "tfidf", "logistic_regression", FULL)
     reviews = flows.read_stream(
         i.spark, i.sf_dir, i.table("conversations").schema, name_filter="conversations.parquet"
     )

@@ -182,3 +182,21 @@ def test_word_vectors_do_not_depend_on_how_rows_are_laid_out(inputs):
         for df in (rows.repartition(7), rows.coalesce(1).orderBy(F.desc("row_id")))
     ]
     assert found[0] == found[1]
+
+
+def test_model_queries_use_the_default_options(inputs, monkeypatch):
+    from revlens.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    def stop(*args):
+        raise Seen(*args)
+
+    monkeypatch.setattr(catalog.CV, "compare", lambda rows, options, scratch: stop(options))
+    monkeypatch.setattr(catalog.CV, "fit_final", lambda rows, feature, model, options: stop(options))
+    monkeypatch.setattr(catalog.MF, "ReviewVectors", lambda word2vec, seed: stop(word2vec))
+    for name in ("cv_grid", "score_reviews", "stream_scores", "lr_top_words", "w2v_vectors"):
+        with pytest.raises(Seen) as seen:
+            getattr(catalog, name)(inputs)
+        assert seen.value.args[0] == (Word2VecOptions() if name == "w2v_vectors" else CompareOptions())
