@@ -12,8 +12,9 @@ name equal anchors. Windows of a document that share an anchor form a segment.
    The shard builds an FM-index of its segments and streams them through it:
    backward search over the wavelet tree gives the matching statistic of each
    place, and a window whose statistic reaches ``window`` repeats.
-3. An anchor with very many different segments is split: its windows go to
-   shards one by one, by their own hash, so no group grows with a hot anchor.
+3. An anchor with very many different segments goes to no shard: its windows are
+   counted by a digest of 128 bits, combined before the shuffle, and repeated
+   digests are joined back block by block, so no group grows with a hot anchor.
 
 Documents meet their marks by a key of 128 bits; texts are shuffled twice.
 """
@@ -21,11 +22,13 @@ Documents meet their marks by a key of 128 bits; texts are shuffled twice.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from revlens.llm import kit
@@ -112,13 +115,15 @@ def _segments(keyed: DataFrame, o: Options) -> DataFrame:
 
 
 PASSAGE = (
-    "shard int, k1 bigint, k2 bigint, first int, place int, copies bigint, words binary"
+    "shard int, k1 bigint, k2 bigint, first int, place int, copies bigint, words binary, "
+    "block int, w1 bigint, w2 bigint"
 )
 
 
 def _passages(asked: DataFrame, shards: int, o: Options) -> DataFrame:
-    """The words of the asked segments; windows one by one where an anchor is
-    hot. ``place`` is the window's number in its segment."""
+    """The words of the asked segments. Where an anchor is hot, digests (w1, w2) of
+    the windows one by one, without words or shard; ``place`` is the window's
+    number in its segment, and ``block`` the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,21 +135,22 @@ def _passages(asked: DataFrame, shards: int, o: Options) -> DataFrame:
 
 def _cut(batch: pa.RecordBatch, shards: int, o: Options) -> Iterator[pa.RecordBatch]:
     w = words_of(kit.texts_of(batch))
-    rows = []
+    rows, block = [], TaskContext.get().partitionId()
     keys = zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist())
     for text, ((k1, k2), asked) in enumerate(zip(keys, batch.column("asked").to_pylist())):
         for s in asked:
             begin = int(w.first[text]) + s["first"]
-            units = [(0, s["n"] + o.window - 1, s["anchor"])]
+            own = (k1, k2, s["first"])
             if s["hot"]:
-                units = [(k, o.window, None) for k in range(s["n"])]
-            for place, size, home in units:
-                words = b" ".join(w.slice(begin + place, begin + place + size))
-                if home is None:
-                    digest = hashlib.blake2b(words, digest_size=8).digest()
-                    home = int.from_bytes(digest, "little", signed=True)
-                shard = (home ^ (home >> 29)) % shards
-                rows.append((shard, k1, k2, s["first"], place, s["copies"], words))
+                for place in range(s["n"]):
+                    words = b" ".join(w.slice(begin + place, begin + place + o.window))
+                    digest = hashlib.blake2b(words, digest_size=16).digest()
+                    halves = struct.unpack("<qq", digest)
+                    rows.append((None, *own, place, s["copies"], None, block, *halves))
+            else:
+                words = b" ".join(w.slice(begin, begin + s["n"] + o.window - 1))
+                shard = (s["anchor"] ^ (s["anchor"] >> 29)) % shards
+                rows.append((shard, *own, 0, s["copies"], words, block, None, None))
         if len(rows) > 20_000:
             yield _batch(rows)
             rows = []
@@ -153,8 +159,9 @@ def _cut(batch: pa.RecordBatch, shards: int, o: Options) -> Iterator[pa.RecordBa
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    names = ("shard", "k1", "k2", "first", "place", "copies", "words")
+    whole, half = pa.int64(), pa.int32()
+    kinds = (half, whole, whole, half, half, whole, pa.binary(), half, whole, whole)
+    names = ("shard", "k1", "k2", "first", "place", "copies", "words", "block", "w1", "w2")
     return pa.RecordBatch.from_arrays(
         [pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names=names
     )
@@ -190,6 +197,18 @@ def shard_marks(table: pa.Table, o: Options) -> pa.Table:
     return out.append_column("mask", pa.array(masks[found]))
 
 
+def hot_marks(windows: DataFrame) -> DataFrame:
+    """The repeated windows of hot anchors in segments that occur once. Equal
+    windows all lie at one anchor, so a digest's copies are all there are."""
+    counts = windows.groupBy("w1", "w2", "block").agg(F.sum("copies").alias("copies"))
+    many = counts.groupBy("w1", "w2").agg(F.sum("copies").alias("all")).where("all > 1")
+    # Blocks tell a key's rows apart, so the join meets at most one block's at once.
+    repeated = counts.join(many.select("w1", "w2"), ["w1", "w2"]).select("w1", "w2", "block")
+    found = windows.where("copies = 1").join(repeated, ["w1", "w2", "block"])
+    mask = F.expr("bit_or(shiftleft(1L, place))").alias("mask")
+    return found.groupBy("k1", "k2", "first").agg(mask)
+
+
 def covered(first: list[int], masks: list[int], words: int, window: int) -> np.ndarray:
     """Which words lie in a repeated window."""
     change = np.zeros(words + 1, np.int64)
@@ -235,8 +254,10 @@ def repeated_windows(keyed: DataFrame, stage: kit.Stage, o: Options) -> DataFram
         ).alias("asked")
     )
     passages = stage.table(_passages(keyed.join(by_text, ["k1", "k2"]), shards, o), "passages")
-    found = passages.groupBy("shard").applyInArrow(lambda t: shard_marks(t, o), MARK)
-    marks = stage.table(whole.unionByName(found), "marks")
+    in_shards = passages.where("shard IS NOT NULL").drop("block", "w1", "w2")
+    found = in_shards.groupBy("shard").applyInArrow(lambda t: shard_marks(t, o), MARK)
+    hot = hot_marks(passages.where("shard IS NULL").drop("shard", "words"))
+    marks = stage.table(whole.unionByName(found).unionByName(hot), "marks")
     stage.drop(placed, passages)
     return marks
 

@@ -67,6 +67,26 @@ def test_rows_repeating_id_and_text_and_null_ids(make_docs):
     assert [r.text for r in out.collect()] == [""] * 5
 
 
+def test_hot_passage_fills_no_shard(make_docs, monkeypatch):
+    shared = sentences(1, 45).split()[:45]
+    texts = [" ".join([f"a{k}", f"b{k}", *shared, f"c{k}", f"d{k}"]) for k in range(300)]
+    texts += [" ".join(shared[:35]), sentences(4) + " " + sentences(5, 40)]
+    held = []
+    table = S.kit.Stage.table
+
+    def spy(self, df, name, *more):
+        out = table(self, df, name, *more)
+        if name == "passages":
+            sizes = out.where("words IS NOT NULL").groupBy("shard").count().collect()
+            held.append(max((r["count"] for r in sizes), default=0))
+        return out
+
+    monkeypatch.setattr(S.kit.Stage, "table", spy)
+    options = S.Options(hot_segments=5, shard_words=300)
+    assert found(make_docs(texts), options) == expected(texts)
+    assert held[0] < 50
+
+
 def test_untouched_texts_keep_their_blanks(make_docs):
     text = "two  blanks\tand a tab\n" + sentences(3)
     assert [r.text for r in S.without_repeats(make_docs([text, None])).orderBy("doc_id").collect()] == [text, None]
