@@ -87,10 +87,73 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(a.x, c.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 50 = 0 AND a.vec_id <> c.vec_id
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+  AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 3
+"""
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+LEXICAL_SEARCH = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, CAST(len(terms) AS BIGINT) AS n FROM d WHERE len(terms) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+t AS (
+  SELECT doc_id, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM t GROUP BY term), c
+), q AS (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark),
+s AS (
+  SELECT item_id, t.doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN n ON n.doc_id = t.doc_id, c GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER o AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW o AS (PARTITION BY item_id ORDER BY score DESC, doc_id)
+QUALIFY row_number() OVER o <= 20
+"""
+
+EXACT_DEDUP = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256
+  FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id,
+       CAST(count(*) OVER (PARTITION BY text_sha256) AS BIGINT) AS group_size,
+       doc_id = first_value(doc_id) OVER best AS kept, text_sha256
+FROM d
+WINDOW best AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
+"""
+
 
 def sql() -> dict[str, str]:
     return {
         "op1_quality_rules": QUALITY,
         "op2_substring_dedup": SUBSTRING,
         "op10_top_k": TOP_K,
+        "op11_hard_negatives": HARD_NEGATIVES,
+        "op12_lexical_search": LEXICAL_SEARCH,
+        "op13_exact_dedup": EXACT_DEDUP,
     }

@@ -10,7 +10,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in queries.registered())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert {"pipeline", *queries.registered()} <= set(entry.queries())
     assert set(oracles.sql()) <= set(entry.oracle_sql())
 
