@@ -290,11 +290,16 @@ def mine(
     near = taken.mapInArrow(nearest, placed)
     layout = ("label", "pivot", "vec_id", "row")
 
-    def dealt(rows: DataFrame, parts: int, name: str) -> DataFrame:
-        ranged = rows.repartitionByRange(max(1, parts), *layout)
-        return ranged.withColumn(name, F.spark_partition_id())
-
-    shards = stage.table(dealt(near, -(-facts.rows // o.shard_rows), "shard"), "shards")
+    def dealt(rows: DataFrame, size: int, name: str) -> DataFrame:
+        """Neighbours in runs of about one size, however many partitions hold them."""
+        parts = max(1, size)
+        ranged = rows.repartitionByRange(parts, *layout).withColumn("part", F.spark_partition_id())
+        ranged = stage.table(ranged, name)
+        there = max(ranged.agg(F.max("part")).first()[0] + 1, parts)
+        number = F.floor(F.col("part") * parts / F.lit(there)).cast("int")
+        return ranged.withColumn(name, number).drop("part")
+
+    shards = dealt(near, -(-facts.rows // o.shard_rows), "shard")
     blocks = dealt(near.where(is_anchor), -(-facts.anchors // o.block_anchors), "block")
 
     def grow(block: pa.Table) -> pa.Table:
