@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from revlens.sources.scratch import Scratch
+
 # Parts of a group that are ranked on their own.
 BUCKETS = 64
 
@@ -35,3 +37,25 @@ def largest(
         .where(F.col("rank") <= limit)
         .drop("_part")
     )
+
+
+def numbered(df: DataFrame, scratch: Scratch, *by: Column, name: str) -> DataFrame:
+    """Number all rows from 0 in the order ``by``, which must settle ties. Rows
+    are cut into ranges of the order and numbered inside them; only the sizes of
+    the ranges meet in one task."""
+    ranged = df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id())
+    ranged = scratch.table(ranged, "ranges")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        ranged.groupBy("_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        .select("_range", "_offset")
+    )
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*by))
+    return (
+        ranged.withColumn("_inside", inside)
+        .join(F.broadcast(offsets), "_range")
+        .withColumn(name, F.col("_offset") + F.col("_inside") - 1)
+        .drop("_range", "_inside", "_offset")
+    )

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from revlens.functions import text as X
 from revlens.functions.rows import each, largest
 from revlens.functions.vectors import signed_weight
+from revlens.operators.skew import heavy_keys, skew_join
 from revlens.settings import KEYWORD_SEEDS, STOPWORDS
+from revlens.sources.scratch import Scratch
 
 _TINY = 1e-9
 
@@ -119,13 +121,17 @@ def dunning(pair: Column, first: Column, second: Column, total: Column) -> Colum
     return F.when((total <= first) | (total <= second), 0.0).otherwise(-2.0 * ratio)
 
 
-def collocations(words: DataFrame, unigrams: DataFrame | None = None) -> DataFrame:
+def collocations(
+    words: DataFrame, unigrams: DataFrame | None = None, scratch: Scratch | None = None
+) -> DataFrame:
     """(label, first, second, n, score) for neighbouring content words of a text.
 
-    Pair counts meet the word counts through two equi-joins on (label, word).
-    Both sides are combined first, and the word side is unique.
+    Pair counts meet the word counts through two equi-joins on (label, word). A
+    word that stands in a large part of the pairs is split over many tasks by
+    the other word of the pair; the word side is unique.
     """
-    unigrams = word_frequencies(words) if unigrams is None else unigrams
+    scratch = scratch or Scratch(words.sparkSession)
+    unigrams = scratch.table(word_frequencies(words), "words") if unigrams is None else unigrams
     pairs = (
         each(words, X.bigrams(F.col("words")), "label", name="pair")
         .groupBy("label", "pair")
@@ -137,29 +143,36 @@ def collocations(words: DataFrame, unigrams: DataFrame | None = None) -> DataFra
             "n",
         )
     )
+    pairs = scratch.table(pairs, "pairs")
     firsts = unigrams.select("label", F.col("term").alias("first"), F.col("n").alias("n_first"))
     seconds = unigrams.select("label", F.col("term").alias("second"), F.col("n").alias("n_second"))
     # One row per class.
     totals = unigrams.groupBy("label").agg(F.sum("n").alias("total"))
-    joined = (
-        pairs.join(firsts, ["label", "first"])
-        .join(seconds, ["label", "second"])
-        .join(F.broadcast(totals), "label")
-    )
+    # Every pair finds its words, so the hot keys of the second join are known too.
+    on = (["label", "first"], ["label", "second"])
+    hot = [heavy_keys(pairs, keys) for keys in on]
+    joined = skew_join(pairs, firsts, on[0], F.col("second"), heavy=hot[0])
+    joined = skew_join(joined, seconds, on[1], F.col("first"), heavy=hot[1])
+    joined = joined.join(F.broadcast(totals), "label")
     score = dunning(*[F.col(c).cast("double") for c in ("n", "n_first", "n_second", "total")])
     return joined.select("label", "first", "second", "n", score.alias("score"))
 
 
 def word_cloud(
-    words: DataFrame, limit: int = 120, threshold: float = 30.0, unigrams: DataFrame | None = None
+    words: DataFrame,
+    limit: int = 120,
+    threshold: float = 30.0,
+    unigrams: DataFrame | None = None,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """Top words per class with strong collocations as terms of their own.
 
     The count of a collocation is taken off the counts of both its words, and
     words with nothing left disappear.
     """
-    unigrams = word_frequencies(words) if unigrams is None else unigrams
-    strong = collocations(words, unigrams).where(F.col("score") > threshold)
+    scratch = scratch or Scratch(words.sparkSession)
+    unigrams = scratch.table(word_frequencies(words), "words") if unigrams is None else unigrams
+    strong = collocations(words, unigrams, scratch).where(F.col("score") > threshold)
     taken = F.array(
         F.struct(F.col("first").alias("term"), (-F.col("n")).alias("n")),
         F.struct(F.col("second").alias("term"), (-F.col("n")).alias("n")),

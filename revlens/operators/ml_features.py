@@ -4,18 +4,33 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark import keyword_only
 from pyspark.ml import Estimator, PipelineModel, Transformer
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, Word2Vec
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.ml.stat import Summarizer
+from pyspark.ml.util import (
+    DefaultParamsReadable,
+    DefaultParamsReader,
+    DefaultParamsWritable,
+    DefaultParamsWriter,
+    MLReadable,
+    MLReader,
+    MLWritable,
+    MLWriter,
+)
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from revlens.functions import text as X
 from revlens.functions.vectors import vector_values
 from revlens.operators import terms as TM
+from revlens.operators.skew import skew_join
+from revlens.operators.word2vec import Trainer
 from revlens.settings import TfidfOptions, Word2VecOptions
+from revlens.sources.scratch import Scratch
 
 
 class _Stage(Transformer, DefaultParamsReadable, DefaultParamsWritable):
@@ -146,77 +161,157 @@ def long_weights(vectorized: DataFrame, vocab: DataFrame) -> DataFrame:
     )
 
 
-@F.arrow_udf(VectorUDT())
-def _scale(vectors: pa.Array, factors: pa.Array) -> pa.Array:
-    values, row = _lists(vectors.field("values") if vectors.offset == 0 else vectors.flatten()[3])
-    return _with_values(vectors, values * factors.to_numpy(zero_copy_only=False)[row])
+def _means(words: dict[str, int], matrix: np.ndarray):
+    """Arrow function from tokens to the mean vector of the known ones."""
+    size = matrix.shape[1]
+    shared = SparkSession.active().sparkContext.broadcast((words, matrix))
 
+    @F.arrow_udf(VectorUDT())
+    def mean(tokens: pa.Array) -> pa.Array:
+        words, matrix = shared.value
+        row = np.repeat(np.arange(len(tokens)), pa.compute.fill_null(pa.compute.list_value_length(tokens), 0))
+        coded = tokens.flatten().dictionary_encode()
+        number = np.array([words.get(w, -1) for w in coded.dictionary.to_pylist()], np.int64)
+        at = number[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+        row, at = row[at >= 0], at[at >= 0]
+        sums = np.zeros((len(tokens), size))
+        # In steps, so that a long batch is never one large matrix.
+        for begin in range(0, len(at), 65_536):
+            part, vectors = row[begin : begin + 65_536], matrix[at[begin : begin + 65_536]]
+            starts = np.flatnonzero(np.diff(part, prepend=-1))
+            sums[part[starts]] += np.add.reduceat(vectors, starts, dtype=np.float64)
+        counts = np.bincount(row, minlength=len(tokens))
+        return _dense(sums / np.maximum(counts, 1)[:, None])
+
+    return mean
+
+
+def _dense(rows: np.ndarray) -> pa.StructArray:
+    """ML vectors from the rows of a matrix."""
+    n, size = rows.shape
+    offsets = pa.array(np.arange(n + 1) * size, pa.int32())
+    nothing = pa.nulls(n, pa.int32())
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(np.ones(n), pa.int8()),
+            nothing,
+            pa.nulls(n, pa.list_(pa.int32())),
+            pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.float64())),
+        ],
+        ["type", "size", "indices", "values"],
+    )
 
-class KnownMean(_Stage):
-    """MLlib divides the sum of the known word vectors by the number of *all*
-    tokens. Multiply by all / known, so that the mean is over known tokens; a
-    text without any stays a zero vector."""
 
-    tokensCol = Param(Params._dummy(), "tokensCol", "tokens", TypeConverters.toString)
-    knownCol = Param(Params._dummy(), "knownCol", "known-word counts", TypeConverters.toString)
+class _WithTable(MLWriter):
+    """Writes the parameters and, next to them, the table of vectors."""
+
+    def __init__(self, stage: WordMeans):
+        super().__init__()
+        self.stage = stage
+
+    def saveImpl(self, path: str) -> None:
+        DefaultParamsWriter.saveMetadata(self.stage, path, self.sparkSession)
+        self.stage.table(self.sparkSession).write.parquet(f"{path}/vectors")
+
+
+class _TableReader(MLReader):
+    def load(self, path: str) -> WordMeans:
+        metadata = DefaultParamsReader.loadMetadata(path, self.sparkSession)
+        stage = WordMeans()
+        stage._resetUid(metadata["uid"])
+        DefaultParamsReader.getAndSetParams(stage, metadata)
+        stage._set(path=f"{path}/vectors")
+        return stage
+
+
+class WordMeans(Transformer, MLWritable, MLReadable):
+    """The mean vector of a text's known tokens; a text without any gets zeros.
+
+    The vectors are a table (word, vector) at ``path``. If its size allows, it is
+    broadcast and no row moves. A larger one is joined with the tokens, the hot
+    words of which are split over many tasks; that needs a batch table.
+    """
+
+    inputCol = Param(Params._dummy(), "inputCol", "tokens", TypeConverters.toString)
+    outputCol = Param(Params._dummy(), "outputCol", "vectors", TypeConverters.toString)
+    path = Param(Params._dummy(), "path", "table of word vectors", TypeConverters.toString)
+    size = Param(Params._dummy(), "size", "vector size", TypeConverters.toInt)
+    broadcastBytes = Param(Params._dummy(), "broadcastBytes", "largest broadcast", TypeConverters.toInt)
 
     @keyword_only
-    def __init__(self, *, inputCol=None, outputCol=None, tokensCol=None, knownCol=None):
+    def __init__(self, *, inputCol=None, outputCol=None, path=None, size=None, broadcastBytes=None):
         super().__init__()
-        self._setDefault(
-            inputCol="mean_all", outputCol="features", tokensCol="terms", knownCol="known"
-        )
+        self._setDefault(inputCol="terms", outputCol="features", broadcastBytes=128 << 20)
         self._set(**self._input_kwargs)
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema("word string, vector array<float>").parquet(self.getOrDefault(self.path))
+
+    def getVectors(self) -> DataFrame:
+        """(word, vector), as ML vectors."""
+        table = self.table(SparkSession.active())
+        return table.select("word", array_to_vector(F.col("vector").cast("array<double>")).alias("vector"))
+
+    def write(self) -> MLWriter:
+        return _WithTable(self)
+
+    @classmethod
+    def read(cls) -> MLReader:
+        return _TableReader()
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        known = F.aggregate(
-            vector_values(F.col(self.getOrDefault(self.knownCol)))["values"],
-            F.lit(0.0),
-            lambda acc, n: acc + n,
+        size = self.getOrDefault(self.size)
+        table = self.table(df.sparkSession)
+        # A word takes some hundred bytes in a dictionary.
+        if table.count() * (4 * size + 100) > self.getOrDefault(self.broadcastBytes):
+            return self._joined(df, table)
+        known = table.toArrow()
+        words = {w: k for k, w in enumerate(known.column("word").to_pylist())}
+        vectors = known.column("vector").combine_chunks()
+        matrix = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        mean = _means(words, matrix)
+        return df.withColumn(self.getOrDefault(self.outputCol), mean(F.col(self.getOrDefault(self.inputCol))))
+
+    def _joined(self, df: DataFrame, table: DataFrame) -> DataFrame:
+        if df.isStreaming:
+            raise ValueError("the word vectors are too large to broadcast into a stream")
+        scratch = Scratch(df.sparkSession)
+        rows = scratch.table(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        tokens = rows.select("_row", F.explode(self.getOrDefault(self.inputCol)).alias("word"))
+        known = skew_join(scratch.table(tokens, "tokens"), table, ["word"], F.col("_row"))
+        vector = array_to_vector(F.col("vector").cast("array<double>"))
+        means = known.groupBy("_row").agg(Summarizer.mean(vector).alias("_mean"))
+        none = array_to_vector(F.array_repeat(F.lit(0.0), self.getOrDefault(self.size)))
+        joined = rows.join(means, "_row", "left").withColumn(
+            self.getOrDefault(self.outputCol), F.coalesce("_mean", none)
         )
-        everything = F.size(self.getOrDefault(self.tokensCol)).cast("double")
-        factor: Column = F.coalesce(F.try_divide(everything, known), F.lit(0.0))
-        return df.withColumn(self._out(), _scale(F.col(self._in()), factor))
+        return joined.drop("_row", "_mean")
 
 
 class ReviewVectors(Estimator):
-    """Skip-gram word vectors and their mean per text.
-
-    MLlib keeps one matrix of vocabulary x vector size in the driver and in each
-    task; ``min_count`` is the bound on it. Training is spread over
-    ``partitions`` tasks, over rows (row_id, text).
-    """
-
-    def __init__(self, options: Word2VecOptions = Word2VecOptions(), seed: int = 42):
+    """Skip-gram word vectors and their mean per text, over rows (row_id, text).
+    Vectors stay in a table; see ``word2vec``."""
+
+    def __init__(
+        self,
+        options: Word2VecOptions = Word2VecOptions(),
+        seed: int = 42,
+        scratch: Scratch | None = None,
+    ):
         super().__init__()
         self.options = options
         self.seed_value = seed
+        self.scratch = scratch
 
     def _fit(self, docs: DataFrame) -> PipelineModel:
         o = self.options
+        scratch = self.scratch or Scratch(docs.sparkSession)
         split = ReviewTokens()
-        # Laid out by row, whatever the number of cores or of input files.
-        laid = docs.select("row_id", "text").repartition(o.partitions, "row_id")
-        laid = laid.sortWithinPartitions("row_id")
-        sentences = split.transform(laid).select("terms")
-        trainer = Word2Vec(
-            vectorSize=o.vector_size,
-            windowSize=o.window,
-            minCount=o.min_count,
-            maxIter=o.epochs,
-            numPartitions=o.partitions,
-            maxSentenceLength=o.max_sentence,
-            seed=self.seed_value,
-            inputCol="terms",
-            outputCol="mean_all",
+        vectors = Trainer(o, self.seed_value, scratch).fit(split.transform(docs.select("text")))
+        pooled = WordMeans(
+            path=scratch.path_of(vectors), size=o.vector_size, broadcastBytes=o.broadcast_bytes
         )
-        model = trainer.fit(sentences)
-        words = model.getVectors().select(F.array("word").alias("terms"))
-        # Fitted on the words themselves, so exactly that vocabulary.
-        known = CountVectorizer(
-            inputCol="terms", outputCol="known", minDF=1.0, vocabSize=2**31 - 1
-        ).fit(words)
-        return PipelineModel(stages=[split, model, known, KnownMean()])
+        return PipelineModel(stages=[split, pooled])
 
 
 def feature_estimator(name: str, tfidf: TfidfOptions, w2v: Word2VecOptions, seed: int) -> Estimator:

@@ -448,11 +448,11 @@ def word_freq(i: Inputs) -> DataFrame:
 
 
 def collocations(i: Inputs) -> DataFrame:
-    return _rounded(I.collocations(_words(i)), "score", digits=4)
+    return _rounded(I.collocations(_words(i), scratch=i.scratch), "score", digits=4)
 
 
 def word_cloud(i: Inputs) -> DataFrame:
-    return _rounded(I.word_cloud(_words(i)), "relative")
+    return _rounded(I.word_cloud(_words(i), scratch=i.scratch), "relative")
 
 
 def _class_weighted_terms(i: Inputs) -> DataFrame:

@@ -140,7 +140,7 @@ def analyse(spark: SparkSession, rows: DataFrame, cfg: CompareConfig, scratch: S
     words = I.content_words(rows, o.stopwords)
     unigrams = scratch.table(I.word_frequencies(words), "word-counts")
     writers.write_report(
-        I.word_cloud(words, unigrams=unigrams).orderBy("label", F.desc("n"), "term"),
+        I.word_cloud(words, unigrams=unigrams, scratch=scratch).orderBy("label", F.desc("n"), "term"),
         f"{cfg.out}/word_cloud",
     )
 

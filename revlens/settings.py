@@ -83,13 +83,21 @@ class Word2VecOptions:
     window: int = 5
     min_count: int = 1
     epochs: int = 60
-    # MLlib trains one model copy per partition and merges the copies after each
-    # epoch, so the vectors depend on this number, and on nothing of the cluster.
-    # With 1 they are reproducible to the last digit, in one task; with more, the
-    # order in which copies are added may change last digits.
+    negative: int = 5
+    # Of the first step; it falls to nothing over the epochs.
+    rate: float = 0.25
+    # Passes over two ranges of words when they meet; fewer mix the ranges more
+    # often, and cost more rounds.
+    passes: int = 10
+    # Ranges of words, at least; tasks that train side by side. The vectors depend
+    # on it, but not on the cluster.
     partitions: int = 8
-    # MLlib cuts longer texts, and loses the windows across the cuts.
-    max_sentence: int = 10_000_000
+    # A range has at most so many words, and two ranges about so many pairs.
+    range_words: int = 65_536
+    range_pairs: int = 4_000_000
+    # A table of vectors up to this size is broadcast for pooling; a larger one is
+    # joined with the tokens.
+    broadcast_bytes: int = 128 << 20
 
 
 @dataclass(frozen=True)

@@ -47,6 +47,7 @@ class Scratch:
         target, fs = hadoop_path(spark, self.root)
         fs.mkdirs(target)
         fs.deleteOnExit(target)
+        self._written: dict[int, str] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -54,4 +55,18 @@ class Scratch:
     def table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         where = self.path(name)
         df.write.partitionBy(*partition_by).parquet(where)
-        return self.spark.read.schema(df.schema).parquet(where)
+        out = self.spark.read.schema(df.schema).parquet(where)
+        self._written[id(out)] = where
+        return out
+
+    def path_of(self, table: DataFrame) -> str:
+        """Where a table of this folder lies."""
+        return self._written[id(table)]
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables of this folder that nothing reads any more."""
+        for df in tables:
+            where = self._written.pop(id(df), None)
+            if where:
+                path, fs = hadoop_path(self.spark, where)
+                fs.delete(path, True)
