@@ -28,6 +28,7 @@ from revlens.functions import text as X
 from revlens.functions.vectors import vector_values
 from revlens.operators import terms as TM
 from revlens.operators.skew import skew_join
+from revlens.operators.vectors import dense_vectors
 from revlens.operators.word2vec import Trainer
 from revlens.settings import TfidfOptions, Word2VecOptions
 from revlens.sources.scratch import Scratch
@@ -181,27 +182,11 @@ def _means(words: dict[str, int], matrix: np.ndarray):
             starts = np.flatnonzero(np.diff(part, prepend=-1))
             sums[part[starts]] += np.add.reduceat(vectors, starts, dtype=np.float64)
         counts = np.bincount(row, minlength=len(tokens))
-        return _dense(sums / np.maximum(counts, 1)[:, None])
+        return dense_vectors(sums / np.maximum(counts, 1)[:, None])
 
     return mean
 
 
-def _dense(rows: np.ndarray) -> pa.StructArray:
-    """ML vectors from the rows of a matrix."""
-    n, size = rows.shape
-    offsets = pa.array(np.arange(n + 1) * size, pa.int32())
-    nothing = pa.nulls(n, pa.int32())
-    return pa.StructArray.from_arrays(
-        [
-            pa.array(np.ones(n), pa.int8()),
-            nothing,
-            pa.nulls(n, pa.list_(pa.int32())),
-            pa.ListArray.from_arrays(offsets, pa.array(rows.ravel(), pa.float64())),
-        ],
-        ["type", "size", "indices", "values"],
-    )
-
-
 class _WithTable(MLWriter):
     """Writes the parameters and, next to them, the table of vectors."""
 

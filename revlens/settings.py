@@ -117,7 +117,7 @@ class CompareOptions:
     models: tuple[str, ...] = MODELS
     linear_iterations: int = 2500
     # Of the linear SVM; None is the number above.
-    svm_iterations: int | None = None
+    svm_iterations: int | None = 1000
     # Fits submitted at the same time by the driver.
     parallel_fits: int = 4
     stop_on_error: bool = False
