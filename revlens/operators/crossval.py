@@ -163,7 +163,7 @@ def fit_final(rows: DataFrame, feature: str, model: str, options: CompareOptions
     stages = MF.feature_estimator(feature, options.tfidf, options.word2vec, options.seed).fit(rows)
     train = (
         stages.transform(rows)
-        .select("label", "features")
+        .select("row_id", "label", "features")
         .withColumn(C.WEIGHT, C.balanced_weight(counts))
         # Read once per pass of the solver.
         .persist(StorageLevel.MEMORY_AND_DISK)
