@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
@@ -15,7 +16,7 @@ from revlens.operators import ml_features as MF
 from revlens.operators import terms as TM
 from revlens.operators.split import stratified_folds
 from revlens.settings import CompareOptions
-from revlens.sources.scratch import Scratch
+from revlens.sources.scratch import Scratch, path_exists
 
 OOF_COLUMNS = (
     "candidate_id", "feature", "model", "fold", "row_id", "label", "prediction", "score", "score_kind",
@@ -43,6 +44,29 @@ class Comparison:
     status: DataFrame
 
 
+class Progress:
+    """The finished folds of a comparison, each a table in ``folder``.
+
+    A fold counts as finished when its table is committed, which the file system
+    does in one step; what a lost run left half-written is written anew. Folds
+    are found again only for the same rows and the same options.
+    """
+
+    def __init__(self, rows: DataFrame, options: CompareOptions, folder: str):
+        # Which candidates are asked for, and how they are run, changes no fold.
+        o = replace(options, features=(), models=(), parallel_fits=1, stop_on_error=False)
+        facts = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("row_id", "text", "label").cast("decimal(38,0)")))
+        key = repr((o, tuple(facts.first())))
+        self.spark = rows.sparkSession
+        self.folder = f"{folder}/{hashlib.sha256(key.encode()).hexdigest()[:16]}"
+
+    def path(self, c: Candidate, fold: int) -> str:
+        return f"{self.folder}/{c.feature}/{c.model}/{fold}"
+
+    def done(self, c: Candidate, fold: int) -> bool:
+        return path_exists(self.spark, f"{self.path(c, fold)}/_SUCCESS")
+
+
 def _fold_vectorizers(rows: DataFrame, feature: str, o: CompareOptions):
     """fold -> fitted feature stages. All TF-IDF vocabularies come from one pass
     over the corpus; word vectors are trained per fold, seeded seed + fold."""
@@ -69,15 +93,19 @@ def _fold_vectorizers(rows: DataFrame, feature: str, o: CompareOptions):
     return word2vec
 
 
-def compare(rows: DataFrame, options: CompareOptions, scratch: Scratch) -> Comparison:
+def compare(
+    rows: DataFrame, options: CompareOptions, scratch: Scratch, folder: str | None = None
+) -> Comparison:
     """Fit every candidate on every fold and collect the out-of-fold predictions.
 
     The driver only submits fits: ``parallel_fits`` at a time, so that the tail
     of one overlaps the start of the next. Features are computed once per
     (feature, fold) and shared by all models. Each finished fold is a table in
     the shared folder; a candidate that fails is reported and the rest go on.
+    With ``folder``, folds that an earlier run finished there are not fitted again.
     """
     o = options
+    progress = Progress(rows, o, folder or scratch.path("progress"))
     folded = scratch.table(
         stratified_folds(rows.select("row_id", "text", "label"), o.folds, o.seed), "folds"
     )
@@ -88,7 +116,6 @@ def compare(rows: DataFrame, options: CompareOptions, scratch: Scratch) -> Compa
     }
     candidates = grid(o)
     errors: dict[int, str] = {}
-    paths: dict[int, list[str]] = {c.candidate_id: [] for c in candidates}
 
     def one_fold(c: Candidate, fold: int, data: DataFrame, class_n: dict[int, int]) -> None:
         if c.candidate_id in errors:
@@ -104,9 +131,7 @@ def compare(rows: DataFrame, options: CompareOptions, scratch: Scratch) -> Compa
                 F.lit(c.model).alias("model"),
                 "fold", "row_id", "label", "prediction", "score", "score_kind",
             )
-            path = scratch.path("oof")
-            out.write.parquet(path)
-            paths[c.candidate_id].append(path)
+            out.write.mode("overwrite").parquet(progress.path(c, fold))
         except Exception as error:  # a failed candidate must not stop the others
             if o.stop_on_error:
                 raise
@@ -117,6 +142,9 @@ def compare(rows: DataFrame, options: CompareOptions, scratch: Scratch) -> Compa
         vectorizer = _fold_vectorizers(folded, feature, o)
         with ThreadPoolExecutor(o.parallel_fits) as pool:
             for fold in range(1, o.folds + 1):
+                left = [c for c in group if not progress.done(c, fold)]
+                if not left:
+                    continue
                 class_n: dict[int, int] = {}
                 for (f, label), n in counts.items():
                     if f != fold:
@@ -134,14 +162,13 @@ def compare(rows: DataFrame, options: CompareOptions, scratch: Scratch) -> Compa
                     .persist(StorageLevel.MEMORY_AND_DISK)
                 )
                 try:
-                    jobs = [pool.submit(one_fold, c, fold, data, class_n) for c in group]
+                    jobs = [pool.submit(one_fold, c, fold, data, class_n) for c in left]
                     for job in jobs:
                         job.result()
                 finally:
                     data.unpersist()
 
     spark = rows.sparkSession
-    done = [p for c in candidates if c.candidate_id not in errors for p in paths[c.candidate_id]]
     status = spark.createDataFrame(
         [
             (c.candidate_id, c.feature, c.model,
@@ -150,9 +177,16 @@ def compare(rows: DataFrame, options: CompareOptions, scratch: Scratch) -> Compa
         ],
         "candidate_id int, feature string, model string, status string, error string",
     )
+    done = [
+        spark.read.parquet(*[progress.path(c, fold) for fold in range(1, o.folds + 1)]).withColumn(
+            "candidate_id", F.lit(c.candidate_id)
+        )
+        for c in candidates
+        if c.candidate_id not in errors
+    ]
     if not done:
         raise RuntimeError(f"every candidate failed: {errors}")
-    return Comparison(spark.read.parquet(*done).select(*OOF_COLUMNS), status)
+    return Comparison(stack(done).select(*OOF_COLUMNS), status)
 
 
 def fit_final(rows: DataFrame, feature: str, model: str, options: CompareOptions) -> PipelineModel:

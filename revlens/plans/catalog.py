@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -151,7 +152,10 @@ def label_counts(i: Inputs) -> DataFrame:
 
 
 def class_texts(i: Inputs) -> DataFrame:
-    return P.class_texts(i.prepared, 1)
+    """The texts of each class, with the class they were asked for."""
+    return CV.stack(
+        [P.class_texts(i.prepared, code).withColumn("label", F.lit(code)) for code in (0, 1)]
+    )
 
 
 def csv_round_trip(i: Inputs) -> DataFrame:
@@ -255,13 +259,13 @@ def fold_sizes(i: Inputs) -> DataFrame:
 
 
 def fold_train_rows(i: Inputs) -> DataFrame:
-    train, valid = S.fold_sides(i.folds(), 3)
-    return CV.stack(
-        [
-            train.select("row_id", F.lit("train").alias("side")),
-            valid.select("row_id", F.lit("valid").alias("side")),
-        ]
-    )
+    """Both sides of every fold."""
+    rows = i.scratch.table(i.folds(), "folds")
+    sides = []
+    for k in range(1, FX.FOLDS + 1):
+        for name, side in zip(("train", "valid"), S.fold_sides(rows, k)):
+            sides.append(side.select(F.lit(k).alias("of_fold"), F.lit(name).alias("side"), "row_id"))
+    return CV.stack(sides)
 
 
 def _folded_terms(i: Inputs) -> DataFrame:
@@ -516,14 +520,14 @@ def sigmoid(i: Inputs) -> DataFrame:
 
 def score_fallback(i: Inputs) -> DataFrame:
     """A probability for some rows, a margin for others, neither for the rest."""
-    rows = i.scored.where("candidate_id = 1")
+    rows = i.scored
     kind = F.col("row_id") % 3
     positive = SC.positive_probability(
         F.when(kind == 0, F.col("score")),
         F.when(kind == 1, F.col("score") * 4 - 2),
         F.col("prediction"),
     )
-    return rows.select("row_id", F.round(positive, 6).alias("p_positif"))
+    return rows.select("candidate_id", "row_id", F.round(positive, 6).alias("p_positif"))
 
 
 def blank_scores(i: Inputs) -> DataFrame:
@@ -615,11 +619,54 @@ def lr_top_words(i: Inputs) -> DataFrame:
 
 
 def cv_grid(i: Inputs) -> DataFrame:
-    found = CV.compare(_training(i), FULL, i.scratch)
+    found = _compared(i)
     metrics = E.fold_and_pooled_metrics(found.predictions, *CANDIDATE, scratch=i.scratch)
     return _with_rank(E.rank_candidates(pooled_results(metrics, FULL.folds)))
 
 
+def _compared(i: Inputs, **asked) -> CV.Comparison:
+    """Candidates share their finished folds, whichever query asked for them."""
+    return CV.compare(_training(i), replace(FULL, **asked), i.scratch, f"{i.scratch.root}/progress")
+
+
+def _tfidf_results(i: Inputs, model: str) -> DataFrame:
+    found = _compared(i, features=("tfidf",), models=(model,))
+    metrics = E.fold_and_pooled_metrics(found.predictions, *CANDIDATE, scratch=i.scratch)
+    return metrics.withColumn("fold", F.coalesce("fold", F.lit(0)))
+
+
+def cv_logistic_regression(i: Inputs) -> DataFrame:
+    return _tfidf_results(i, "logistic_regression")
+
+
+def cv_linear_svm(i: Inputs) -> DataFrame:
+    return _tfidf_results(i, "linear_svm")
+
+
+def cv_random_forest(i: Inputs) -> DataFrame:
+    return _tfidf_results(i, "random_forest")
+
+
+def cv_extra_trees(i: Inputs) -> DataFrame:
+    return _tfidf_results(i, "extra_trees")
+
+
+def cv_gradient_boosting(i: Inputs) -> DataFrame:
+    return _tfidf_results(i, "gradient_boosting")
+
+
+def cv_coverage(i: Inputs) -> DataFrame:
+    """Out-of-fold rows of two candidates: each row once, in its own fold, with a
+    score where the model gives one, and a prediction on the score's side."""
+    found = _compared(i, features=("tfidf",), models=("logistic_regression", "multinomial_nb"))
+    fits = (F.col("prediction") == 1) == (F.col("score") > 0.5)
+    return found.predictions.groupBy("row_id", "fold", "label").agg(
+        F.count(F.lit(1)).alias("candidates"),
+        F.count_if((F.col("score") >= 0) & (F.col("score") <= 1)).alias("scored"),
+        F.count_if(fits).alias("consistent"),
+    )
+
+
 def score_reviews(i: Inputs) -> DataFrame:
     model = CV.fit_final(_training(i), "tfidf", "linear_svm", FULL)
     reviews = i.table("conversations").select("conv_id", "turn", "text")
@@ -709,6 +756,12 @@ QUERIES: tuple[Callable[[Inputs], DataFrame], ...] = (
     external_scores,
     w2v_vectors,
     lr_top_words,
+    cv_logistic_regression,
+    cv_linear_svm,
+    cv_random_forest,
+    cv_extra_trees,
+    cv_gradient_boosting,
+    cv_coverage,
     cv_grid,
     score_reviews,
     stream_scores,

@@ -29,13 +29,15 @@ CANDIDATES = (
 
 
 TEXT_KEYS = {"documents": ("doc_id",), "conversations": ("conv_id", "turn"), "benchmark": ("item_id",)}
-# The given folders hold one row group a table.
-TEXT_PARTITIONS = 8
+# A session over a small folder, with one row group a table, may name a number of
+# tasks here. Without it the tables are read as they are.
+INPUT_PARTITIONS = "spark.revlens.input.partitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, TEXT_PARTITIONS, *TEXT_KEYS[name]) if name in TEXT_KEYS else df
+    parts = spark.conf.get(INPUT_PARTITIONS, None)
+    return spread(df, int(parts), *TEXT_KEYS[name]) if parts and name in TEXT_KEYS else df
 
 
 def reviews_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,8 @@ class CompareConfig:
     prepared_format: str = "parquet"
     options: CompareOptions = field(default_factory=CompareOptions)
     input_partitions: int | None = None
+    # Keep finished folds in ``out/progress`` and go on from there.
+    resume: bool = False
 
 
 def prepare(spark: SparkSession, cfg: PrepareConfig) -> DataFrame:
@@ -88,7 +90,7 @@ def compare(spark: SparkSession, cfg: CompareConfig) -> PipelineModel:
     rows = scratch.table(
         readers.labelled(source).select("row_id", "text", "label", "label_name"), "labelled"
     )
-    found = CV.compare(rows, o, scratch)
+    found = CV.compare(rows, o, scratch, f"{cfg.out}/progress" if cfg.resume else None)
     keys = ("candidate_id", "feature", "model")
     oof = found.predictions
     texts = rows.select("row_id", "text")

@@ -437,7 +437,7 @@ def sql() -> dict[str, str]:
     out["label_counts"] = _with(
         _PREP, "SELECT label_name, count(*) AS n FROM prep GROUP BY label_name"
     )
-    out["class_texts"] = _with(_PREP, "SELECT row_id, text FROM prep WHERE label = 1")
+    out["class_texts"] = _with(_PREP, "SELECT row_id, text, label FROM prep")
     out["csv_round_trip"] = _with(_PREP, "SELECT * FROM prep")
     out["known_labels"] = _with(
         (RAW,),
@@ -477,8 +477,14 @@ def sql() -> dict[str, str]:
         with_folds, "SELECT fold, label, count(*) AS n FROM folds GROUP BY ALL"
     )
     out["fold_train_rows"] = _with(
+        (*with_folds, f"ks AS (SELECT unnest(range(1, {FX.FOLDS + 1}))::INTEGER AS of_fold)"),
+        """SELECT of_fold, CASE WHEN fold = of_fold THEN 'valid' ELSE 'train' END AS side, row_id
+          FROM folds, ks""",
+    )
+    out["cv_coverage"] = _with(
         with_folds,
-        "SELECT row_id, CASE WHEN fold = 3 THEN 'valid' ELSE 'train' END AS side FROM folds",
+        """SELECT row_id, fold, label, 2::BIGINT AS candidates, 2::BIGINT AS scored,
+          2::BIGINT AS consistent FROM folds""",
     )
     outside = f"""ks AS (SELECT unnest(range(1, {FX.FOLDS + 1}))::INTEGER AS fold),
     per AS (SELECT fold, term, count(*) AS tf, count(DISTINCT row_id) AS df
@@ -659,9 +665,9 @@ def sql() -> dict[str, str]:
     )
     out["score_fallback"] = _with(
         _SCORED,
-        """SELECT row_id, round(CASE row_id % 3 WHEN 0 THEN score
-            WHEN 1 THEN 1 / (1 + exp(-(score * 4 - 2))) ELSE prediction::DOUBLE END, 6)
-            AS p_positif FROM scored WHERE candidate_id = 1""",
+        """SELECT candidate_id, row_id, round(coalesce(CASE row_id % 3 WHEN 0 THEN score
+            WHEN 1 THEN 1 / (1 + exp(-(score * 4 - 2))) END, prediction::DOUBLE), 6)
+            AS p_positif FROM scored""",
     )
     out["blank_scores"] = _with(
         (

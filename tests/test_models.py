@@ -193,10 +193,45 @@ def test_model_queries_use_the_default_options(inputs, monkeypatch):
     def stop(*args):
         raise Seen(*args)
 
-    monkeypatch.setattr(catalog.CV, "compare", lambda rows, options, scratch: stop(options))
+    monkeypatch.setattr(catalog.CV, "compare", lambda rows, options, scratch, folder=None: stop(options))
     monkeypatch.setattr(catalog.CV, "fit_final", lambda rows, feature, model, options: stop(options))
     monkeypatch.setattr(catalog.MF, "ReviewVectors", lambda word2vec, seed: stop(word2vec))
     for name in ("cv_grid", "score_reviews", "stream_scores", "lr_top_words", "w2v_vectors"):
         with pytest.raises(Seen) as seen:
             getattr(catalog, name)(inputs)
         assert seen.value.args[0] == (Word2VecOptions() if name == "w2v_vectors" else CompareOptions())
+
+
+def test_a_restarted_comparison_goes_on(rows, scratch, monkeypatch, tmp_path):
+    """It fails in the fourth fold; the next run fits what is left, and only that."""
+    fits = []
+    plain = C.classifier
+
+    def counted(name, options, n):
+        if len(fits) == 3 and not restarted:
+            raise RuntimeError("lost")
+        fits.append(name)
+        return plain(name, options, n)
+
+    monkeypatch.setattr(C, "classifier", counted)
+    o = CompareOptions(
+        folds=5, linear_iterations=5, features=("tfidf",), models=("logistic_regression",),
+        parallel_fits=1, stop_on_error=True,
+    )
+    restarted = False
+    with pytest.raises(RuntimeError, match="lost"):
+        CV.compare(rows, o, scratch, str(tmp_path))
+    restarted = True
+    found = CV.compare(rows, o, scratch, str(tmp_path)).predictions
+    assert len(fits) == 5 and found.count() == rows.count()
+    whole = CV.compare(rows, o, scratch).predictions
+    assert len(fits) == 10
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+    # Another model has its own folds and number; other options and rows start anew.
+    both = CompareOptions(**{**vars(o), "models": ("multinomial_nb", "logistic_regression")})
+    ids = {(r.candidate_id, r.model) for r in CV.compare(rows, both, scratch, str(tmp_path)).predictions.collect()}
+    assert ids == {(1, "multinomial_nb"), (2, "logistic_regression")} and len(fits) == 15
+    CV.compare(rows, CompareOptions(**{**vars(o), "linear_iterations": 6}), scratch, str(tmp_path))
+    assert len(fits) == 20
+    CV.compare(rows.where("row_id > 3"), o, scratch, str(tmp_path))
+    assert len(fits) == 25

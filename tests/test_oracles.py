@@ -20,6 +20,8 @@ def test_registry():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {
         "w2v_vectors", "lr_top_words", "cv_grid", "score_reviews", "stream_scores",
+        "cv_logistic_regression", "cv_linear_svm", "cv_random_forest", "cv_extra_trees",
+        "cv_gradient_boosting",
     }
 
 
