@@ -30,7 +30,7 @@ def with_class_rank(
     give every range its offset, and rows are ranked only inside their range.
     """
     hashed = rows.withColumn(
-        "_hash", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("row_id").cast("string")))
+        "_hash", _hash_of(F.col("row_id"), seed)
     ).withColumn("_range", F.substring("_hash", 1, digits))
     by_class = Window.partitionBy(label)
     # All windows here run over the range counts: classes x 16^digits rows.
@@ -120,25 +120,72 @@ def holdout_quotas(rows: DataFrame, test: float = 0.10, valid: float = 0.111111)
     )
 
 
+def _hash_of(row_id: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), row_id.cast("string")))
+
+
+def class_cuts(rows: DataFrame, quotas: DataFrame, seed: int, digits: int = HASH_DIGITS) -> DataFrame:
+    """(label, name, cut_hash, cut_row): the last row of each named cut, in the
+    order of (hash, row_id) inside its class. ``quotas`` has (label, name, rank),
+    few rows; ranks of 0 have no row.
+
+    Counts by hash range narrow every cut down to one range, and only the rows of
+    these ranges are ranked.
+    """
+    narrow = rows.select("label", "row_id", _hash_of(F.col("row_id"), seed).alias("_hash"))
+    narrow = narrow.withColumn("_range", F.substring("_hash", 1, digits))
+    # Classes x 16^digits rows.
+    up_to = Window.partitionBy("label").orderBy("_range")
+    ranges = (
+        narrow.groupBy("label", "_range")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_end", F.sum("_n").over(up_to))
+    )
+    wanted = ranges.join(F.broadcast(quotas), "label").where(
+        (F.col("rank") <= F.col("_end")) & (F.col("rank") > F.col("_end") - F.col("_n"))
+    )
+    wanted = wanted.select("label", "_range", "name", (F.col("rank") - F.col("_end") + F.col("_n")).alias("_place"))
+    # One range for each cut; two cuts of a class may share one.
+    found = narrow.join(F.broadcast(wanted), ["label", "_range"])
+    inside = Window.partitionBy("label", "_range", "name").orderBy("_hash", "row_id")
+    return (
+        found.withColumn("_at", F.row_number().over(inside))
+        .where(F.col("_at") == F.col("_place"))
+        .select("label", "name", F.col("_hash").alias("cut_hash"), F.col("row_id").alias("cut_row"))
+    )
+
+
 def holdout(
     rows: DataFrame,
     seed: int = 42,
     test: float = 0.10,
     valid: float = 0.111111,
 ) -> DataFrame:
-    """Add ``split``: test first, then valid out of the rest, both stratified."""
-    # One row per class.
-    quotas = holdout_quotas(rows, test, valid).select("label", "test_n", "valid_n")
-    ranked = with_class_rank(rows, seed).join(F.broadcast(quotas), "label")
-    rank = F.col("class_rank")
+    """Add ``split``: test first, then valid out of the rest, both stratified.
+
+    Each class has two cuts; its rows compare themselves with them where they
+    lie, so no row moves or is sorted but those of the two ranges of the cuts.
+    """
+    # Two rows per class.
+    ends = F.array(
+        F.struct(F.lit("test").alias("name"), F.col("test_n").alias("rank")),
+        F.struct(F.lit("valid").alias("name"), (F.col("test_n") + F.col("valid_n")).alias("rank")),
+    )
+    quotas = holdout_quotas(rows, test, valid).select("label", F.inline(ends))
+    cuts = class_cuts(rows, quotas, seed).groupBy("label").agg(
+        *[
+            F.max(F.when(F.col("name") == name, F.struct("cut_hash", "cut_row"))).alias(f"_{name}")
+            for name in ("test", "valid")
+        ]
+    )
+    own = F.struct(_hash_of(F.col("row_id"), seed).alias("cut_hash"), F.col("row_id").alias("cut_row"))
     split = (
-        F.when(rank <= F.col("test_n"), "test")
-        .when(rank <= F.col("test_n") + F.col("valid_n"), "valid")
+        F.when(F.coalesce(own <= F.col("_test"), F.lit(False)), "test")
+        .when(F.coalesce(own <= F.col("_valid"), F.lit(False)), "valid")
         .otherwise("train")
     )
-    return ranked.withColumn("split", split).drop(
-        "class_rank", "position", "class_size", "test_n", "valid_n"
-    )
+    marked = rows.join(F.broadcast(cuts), "label", "left").withColumn("split", split)
+    return marked.select(*rows.columns, "split")
 
 
 def fold_sides(rows: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:

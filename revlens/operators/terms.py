@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from revlens.functions import text as X
 from revlens.functions.rows import each, largest
+from revlens.functions.vectors import vector_values
 from revlens.settings import TfidfOptions
 
 
@@ -65,22 +68,35 @@ def vocabulary(
 def weigh(docs: DataFrame, vocab: DataFrame, *, normalized: bool = True) -> DataFrame:
     """(row_id, term, tf, weight): sublinear tf times idf, unit length per row.
 
-    Terms outside the vocabulary are ignored. The texts, which are smaller than
-    their terms, are partitioned by row once; counting, weighing and scaling
-    then all stay in that partition. The vocabulary has at most ``max_features``
-    rows, so it is broadcast.
+    Terms outside the vocabulary (term, idx, idf) are ignored. A text becomes a
+    count vector, is weighed and scaled inside its row, and only then becomes
+    rows of terms, so nothing is shuffled. The vocabulary has at most
+    ``max_features`` rows; it is read once and broadcast.
     """
-    by_row = with_terms(docs.select("row_id", "text").repartition("row_id"), normalized=normalized)
-    counts = (
-        each(by_row, "terms", "row_id", name="term")
-        .join(F.broadcast(vocab.select("term", "idf")), "term")
-        .groupBy("row_id", "term")
-        .agg(F.count(F.lit(1)).alias("tf"), F.first("idf").alias("idf"))
+    entries = vocab.select("term", "idx", "idf").collect()
+    schema = "row_id long, term string, tf bigint, weight double"
+    if not entries:
+        return docs.sparkSession.createDataFrame([], schema)
+    entries.sort(key=lambda r: r.idx)
+    counter = CountVectorizerModel.from_vocabulary(
+        [r.term for r in entries], inputCol="terms", outputCol="counts"
     )
-    raw = (1 + F.log("tf")) * F.col("idf")
-    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy("row_id")))
-    return counts.withColumn("raw", raw).select(
-        "row_id", "term", "tf", (F.col("raw") / norm).alias("weight")
+    idf = F.lit(np.array([r.idf for r in entries]))
+    terms = with_terms(docs.select("row_id", "text"), normalized=normalized)
+    vector = vector_values(F.col("counts"))
+    rows = counter.transform(terms).select(
+        "row_id", vector["indices"].alias("idx"), vector["values"].alias("tf")
+    )
+    raw = F.zip_with("idx", "tf", lambda i, tf: (1 + F.log(tf)) * F.element_at(idf, i + 1))
+    rows = rows.withColumn("raw", raw)
+    # A column of its own below the rows of terms: once for each text.
+    norm = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda total, x: total + x * x))
+    rows = rows.withColumn("norm", norm)
+    names = docs.sparkSession.createDataFrame([(r.idx, r.term) for r in entries], "idx int, term string")
+    cells = rows.select("row_id", "norm", F.inline_outer(F.arrays_zip("idx", "tf", "raw")))
+    weight = F.col("raw") / F.col("norm")
+    return cells.join(F.broadcast(names), "idx").select(
+        "row_id", "term", F.col("tf").cast("bigint").alias("tf"), weight.alias("weight")
     )
 
 

@@ -49,10 +49,10 @@ def test_tokens_are_computed_once_per_row(inputs):
     assert plan(TM.term_stats(TM.with_terms(docs))).count("regexp_extract_all") == 1
 
 
-def test_tfidf_shuffles_each_text_once(inputs, scratch):
+def test_tfidf_shuffles_no_text(inputs, scratch):
     docs = inputs.prepared.select("row_id", "text")
     vocab = scratch.table(TM.vocabulary(TM.with_terms(docs), docs.count()), "v")
-    assert exchanges(TM.weigh(docs, vocab)).count("hashpartitioning") == 1
+    assert "hashpartitioning" not in exchanges(TM.weigh(docs, vocab))
     rows = vocab.orderBy("idx").collect()
     vectors = docs
     for stage in MF.tfidf_stages([r.term for r in rows], [r.idf for r in rows]):
@@ -91,3 +91,15 @@ def test_large_top_k_ranks_parts_of_a_group_first(inputs):
 def test_top_k_is_limited_before_the_shuffle(inputs, limit):
     words = I.word_frequencies(I.content_words(inputs.prepared))
     assert "WindowGroupLimit" in plan(I.top_words(words, limit))
+
+
+def test_holdout_moves_no_rows(inputs):
+    """Beyond range counts and the ranges of the cuts, rows stay where they are."""
+    rows = inputs.prepared.select("row_id", "label")
+    found = S.holdout(rows)._jdf.queryExecution().optimizedPlan().toString()
+    top = found.split("Join LeftOuter")
+    assert len(top) == 2 and "rightHint=(strategy=broadcast)" in top[1].splitlines()[0]
+    assert "Window" not in top[0] and "Aggregate" not in top[0]
+    # The rows' own side is a plain scan.
+    left = top[1].splitlines()[1]
+    assert "Relation" in left or "Project" in left

@@ -59,3 +59,24 @@ def test_fold_sides(spark):
     folded = S.stratified_folds(labelled(spark, 1, 30, 30), 5)
     train, valid = S.fold_sides(folded, 2)
     assert (train.count(), valid.count()) == (48, 12)
+
+
+def test_cuts_are_those_of_a_full_sort(spark):
+    """Classes of all sizes, down to those without a test row; repeated ids too."""
+    import hashlib
+
+    rows = [(k % 700, 0) for k in range(900)] + [(k, 1) for k in range(900, 937)] + [(999, 2), (1000, 3), (1001, 3)]
+    df = spark.createDataFrame(rows, "row_id long, label int").repartition(3)
+    got = S.holdout(df, 7)
+    assert got.columns == ["row_id", "label", "split"]
+    quotas = {r.label: (r.test_n, r.valid_n) for r in S.holdout_quotas(df).collect()}
+    for label, (test_n, valid_n) in quotas.items():
+        own = sorted((hashlib.md5(f"7:{i}".encode()).hexdigest(), i) for i, y in rows if y == label)
+        at = {}
+        for rank, key in enumerate(own, start=1):
+            # Rows that repeat an id stay together, on the side of the last cut that holds one.
+            at.setdefault(key, "test" if rank <= test_n else "valid" if rank <= test_n + valid_n else "train")
+        for r in got.where(F.col("label") == label).collect():
+            assert r.split == at[hashlib.md5(f"7:{r.row_id}".encode()).hexdigest(), r.row_id]
+    assert got.count() == len(rows)
+    assert S.holdout(df.where("false"), 7).count() == 0
