@@ -35,7 +35,7 @@ FULL = 0.9
 class Options:
     """Sizes of the units of work; none changes the answer."""
 
-    shard_keys: int = 16_384
+    shard_keys: int = 2048
     combine_keys: int = 65_536
     broadcast_groups: int = 100_000
 
