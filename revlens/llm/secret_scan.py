@@ -64,15 +64,17 @@ def wif_checksum(token: re.Match) -> bool:
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` is matched where a keyword begins, ``lead`` characters back.
-    ``verdict`` decides on a match; one that fails is dropped, and the text that
-    it took is not tried again by the same rule."""
+    """``pattern`` is matched where a keyword begins. ``verdict`` decides on a
+    match; one that fails is dropped, and the text that it took is not tried again
+    by the same rule. Where no match begins, ``barren`` may name the place before
+    which none can begin either, so that a run of keywords is read once."""
 
     kind: str
     keywords: tuple[str, ...]
     pattern: re.Pattern
     verdict: Callable[[re.Match], bool]
     any_case: bool = False
+    barren: Callable[[str, int], int] = lambda text, start: start + 1
 
 
 ASSIGN = re.compile(
@@ -80,6 +82,25 @@ ASSIGN = re.compile(
     re.ASCII | re.IGNORECASE,
 )
 
+_JWT_RUN = re.compile("[A-Za-z0-9_-]*")
+
+
+def jwt_barren(text: str, start: int) -> int:
+    """What follows a token's first part decides for all starts inside it."""
+    return _JWT_RUN.match(text, start).end()
+
+
+_PEM_HEAD = re.compile("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----")
+_PEM_BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
+
+
+def pem_barren(text: str, start: int) -> int:
+    """Heads and ends are made of a body's characters, so a run of these that
+    holds no end after one head holds none after its later heads."""
+    head = _PEM_HEAD.match(text, start)
+    return _PEM_BODY.match(text, head.end()).end() if head else start + 1
+
+
 RULES = (
     Rule(
         "assign",
@@ -100,6 +121,7 @@ RULES = (
         ("eyJ",),
         re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
         jwt_header,
+        barren=jwt_barren,
     ),
     Rule(
         "private_key",
@@ -108,6 +130,7 @@ RULES = (
             r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
         ),
         lambda m: True,
+        barren=pem_barren,
     ),
 )
 
@@ -148,6 +171,7 @@ class Scanner:
                     continue
                 match = rule.pattern.match(text, start)
                 if match is None:
+                    after[number] = rule.barren(text, start)
                     continue
                 after[number] = match.end()
                 if rule.verdict(match):
