@@ -16,7 +16,9 @@ name equal anchors. Windows of a document that share an anchor form a segment.
    counted by a digest of 128 bits, combined before the shuffle, and repeated
    digests are joined back block by block, so no group grows with a hot anchor.
 
-Documents meet their marks by a key of 128 bits; texts are shuffled twice.
+Documents meet their marks by a key of 128 bits; texts are shuffled twice. Rows that
+repeat id and text share a key: one of them stands for all where passages are cut,
+and their last join is salted.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from revlens.llm import kit
 from revlens.llm.fm_index import FMIndex
 from revlens.llm.words import range_hash, row_keys, run_hash, words_of
+from revlens.operators.skew import heavy_keys, skew_join
 
 
 @dataclass(frozen=True)
@@ -253,7 +256,9 @@ def repeated_windows(keyed: DataFrame, stage: kit.Stage, o: Options) -> DataFram
             F.struct("anchor", "first", "n", "copies", (F.col("kinds") > o.hot_segments).alias("hot"))
         ).alias("asked")
     )
-    passages = stage.table(_passages(keyed.join(by_text, ["k1", "k2"]), shards, o), "passages")
+    # One of the rows that repeat id and text stands for all, combined before the shuffle.
+    texts = keyed.groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    passages = stage.table(_passages(texts.join(by_text, ["k1", "k2"]), shards, o), "passages")
     in_shards = passages.where("shard IS NOT NULL").drop("block", "w1", "w2")
     found = in_shards.groupBy("shard").applyInArrow(lambda t: shard_marks(t, o), MARK)
     hot = hot_marks(passages.where("shard IS NULL").drop("shard", "words"))
@@ -286,9 +291,19 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(k1.alias("k1"), k2.alias("k2"), text.alias("text"), F.struct("*").alias("row"))
     marks = repeated_windows(rows.select("k1", "k2", "text"), stage, o)
-    # Rows that repeat id and text get each of their marks more than once.
-    by_text = marks.groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "mask")).alias("marks"))
-    joined = rows.join(by_text, ["k1", "k2"], "left").drop("k1", "k2")
+    # Rows that repeat id and text have the same marks, of which a set keeps one
+    # before the shuffle. The rows themselves are split over tasks by where they
+    # are read.
+    by_text = marks.groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "mask")).alias("marks"))
+    key = ["k1", "k2"]
+    joined = skew_join(
+        rows.withColumn("part", F.spark_partition_id()),
+        by_text,
+        key,
+        F.col("part"),
+        how="left",
+        heavy=heavy_keys(rows.select(*key), key),
+    ).drop("part", *key)
     fields = joined.select("row").schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -67,6 +67,26 @@ def test_rows_repeating_id_and_text_and_null_ids(make_docs):
     assert [r.text for r in out.collect()] == [""] * 5
 
 
+def test_many_rows_repeating_id_and_text(make_docs, monkeypatch):
+    # Their passages also stand with other neighbours, so that shards see them.
+    text, rows = sentences(1, 600), 5_000
+    other = sentences(2, 20) + " " + " ".join(text.split()[100:300]) + " " + sentences(3, 20)
+    cut = []
+    table = S.kit.Stage.table
+
+    def spy(self, df, name, *more):
+        out = table(self, df, name, *more)
+        if name == "passages":
+            cut.append(out.where("copies > 1").count())
+        return out
+
+    monkeypatch.setattr(S.kit.Stage, "table", spy)
+    docs = make_docs([text] * rows + [other, sentences(4)], ids=[7] * rows + [8, 9])
+    got = S.remove_repeats(docs).groupBy("row.doc_id", "n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in got} == {(7, 600, 600, rows), (8, 240, 200, 1), (9, 120, 0, 1)}
+    assert 0 < cut[0] < 600
+
+
 def test_hot_passage_fills_no_shard(make_docs, monkeypatch):
     shared = sentences(1, 45).split()[:45]
     texts = [" ".join([f"a{k}", f"b{k}", *shared, f"c{k}", f"d{k}"]) for k in range(300)]
