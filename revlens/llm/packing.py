@@ -18,10 +18,13 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window
 
 from revlens.llm import kit
-from revlens.llm.bpe import TwoGenerations, parts_of
+from revlens.llm.bpe import TwoGenerations, byte_letters, parts_of
 
 
 @dataclass(frozen=True)
@@ -140,15 +143,30 @@ class Mixture:
             run += 1
 
 
+# Letters below this code are letters in every version of Unicode.
+_LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+# The library's splitting, for ASCII and these letters alone.
+_KNOWN = re.compile(f"[\x01-\x7f{_LATIN}]*")
+_PIECE = re.compile(
+    rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+", re.ASCII
+)
+# Texts in which not every space opens a part, or that hold the mark of a cut.
+_ODD = (
+    r"\x00| [\x09-\x0D\x1C-\x20]| \z"
+    r"|[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+)
+
+
 class Library:
-    """The tokenizers library's ids, with the parts of texts remembered. Words of
-    Latin letters, which are one piece to its splitting, go to a copy of the
-    tokenizer that need not split them again. Unknown parts are encoded together,
-    one to a line; a line end is a token of its own, so it marks where one part's
-    ids end. Other than byte-level tokenizers encode whole texts."""
+    """The tokenizers library's ids, with the parts of texts remembered. A step's
+    texts are cut and their distinct parts found by Arrow, so Python sees each
+    distinct part once, and ids are laid out by one gather. Parts of ASCII and Latin
+    letters are split here and go straight to the library's merges, in its byte
+    letters; all other parts, and whole texts of other than byte-level tokenizers,
+    go through all of it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
@@ -161,62 +179,78 @@ class Library:
             and not splits.get("add_prefix_space")
             and form["normalizer"] is None
         )
-        self.words = TwoGenerations(150_000)
         self.parts = TwoGenerations(250_000)
         if self.in_parts:
-            self.unsplit = Tokenizer.from_file(path)
-            lines = pre_tokenizers.Split("\n", "isolated")
-            bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-            self.unsplit.pre_tokenizer = pre_tokenizers.Sequence([lines, bytes_])
-            self.line = self._encode(["\n"])[0]
-            self.marks = {m: np.array(self._encode([m])[0], "<u4").tobytes() for m in ("", *".,;:!?")}
+            letter = {b: c for c, b in byte_letters().items()}
+            self.letters = {k: "".join(letter[b] for b in chr(k).encode()) for k in range(0x250)}
+            added = [re.escape(t["content"]) for t in form.get("added_tokens") or []]
+            self.added = re.compile("|".join(added)) if added else None
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, texts: list[str], plain: bool = False) -> list[list[int]]:
-        own = self.unsplit if plain else self.library
-        return [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)]
+    def _pieces(self, pieces: Iterable[str]) -> dict[str, bytes]:
+        """The ids of distinct pieces, none of which is split further."""
+        merge, letters = self.library.model.tokenize, self.letters
+        return {p: array("I", [t.id for t in merge(p.translate(letters))]).tobytes() for p in pieces}
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        """A mark that closes a word of Latin letters is a token of its own."""
-        words, marks = [], []
+        added = self.added and self.added.search("\0".join(parts)) and self.added.search
+        split: list[tuple | list | None] = []
         for p in parts:
-            close = p and p[-1] in self.marks and p[1:-1].isalpha() and p[0] == " "
-            mark = p[-1] if close and max(p) < LATIN_END else ""
-            words.append(p[:-1] if mark else p)
-            marks.append(mark)
-        ids = self.words.get_all(words, self._words)
-        return [i + self.marks[m] for i, m in zip(ids, marks)]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        plain, other = [], []
-        for w in words:
-            latin = w[:1] == " " and w[1:].isalpha() and max(w) < LATIN_END
-            (plain if latin else other).append(w)
-        found: dict[str, bytes] = {}
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
-            ids = np.array(self._encode(["\n".join(some)], plain=True)[0], "<u4")
-            ends = np.flatnonzero(ids == self.line[0])
-            begins = np.r_[0, ends + 1]
-            found.update((w, ids[a:b].tobytes()) for w, a, b in zip(some, begins, [*ends, len(ids)]))
-        found.update(zip(other, (np.array(i, "<u4").tobytes() for i in self._encode(other))))
-        return [found[w] for w in words]
+            if added and added(p):
+                split.append(None)
+            elif p[:1] == " " and p[1:].isalpha() and p.isascii():
+                split.append((p,))
+            else:
+                split.append(_PIECE.findall(p) if _KNOWN.fullmatch(p) else None)
+        rest = [p for p, pieces in zip(parts, split) if pieces is None]
+        other = iter([np.array(i, "<u4").tobytes() for i in self._encode(rest)] if rest else [])
+        found = self._pieces(dict.fromkeys(chain.from_iterable(filter(None, split))))
+        return [
+            next(other)
+            if pieces is None
+            else found[pieces[0]]
+            if len(pieces) == 1
+            else b"".join([found[x] for x in pieces])
+            for pieces in split
+        ]
+
+    def _cut(self, parts: pa.Array, counts: np.ndarray) -> list[bytes]:
+        """The ids of texts given as all their parts and the parts of each."""
+        coded = parts.dictionary_encode()
+        known = self.parts.get_all(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self._parts)
+        flat = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        begins = np.cumsum(sizes) - sizes
+        codes = coded.indices.to_numpy()
+        sizes = sizes[codes]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        raw = flat[np.repeat(begins[codes] - ends + sizes, sizes) + np.arange(total)].tobytes()
+        bounds = np.r_[0, ends][np.r_[0, np.cumsum(counts)]] * 4
+        return [raw[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.in_parts:
             return [np.array(i, "<u4").tobytes() for i in self._encode(texts)]
-        cut = [parts_of(t) for t in texts]
-        flat = self.parts.get_all([p for parts in cut for p in parts], self._parts)
-        out, at = [], 0
-        for parts in cut:
-            out.append(b"".join(flat[at : at + len(parts)]))
-            at += len(parts)
+        whole = pa.array(texts, pa.large_string())
+        odd = pa.compute.match_substring_regex(whole, _ODD).to_numpy(zero_copy_only=False)
+        plain = whole.filter(pa.array(~odd))
+        marked = pa.compute.replace_substring(plain, " ", "\0 ")
+        lists = pa.compute.split_pattern(marked, "\0")
+        counts = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(texts)
+        for row, ids in zip(np.flatnonzero(~odd).tolist(), self._cut(lists.flatten(), counts)):
+            out[row] = ids
+        rows = np.flatnonzero(odd).tolist()
+        cut = [parts_of(texts[row]) for row in rows]
+        flat = pa.array(chain.from_iterable(cut), pa.large_string())
+        for row, ids in zip(rows, self._cut(flat, np.array(list(map(len, cut)), np.int64))):
+            out[row] = ids
         return out
 
 
-# Letters below this code are letters in every version of Unicode.
-LATIN_END = "\u0250"
-
-
 @lru_cache(2)
 def library(path: str) -> Library:
     """One for each Python worker. Spark's tasks are the parallel units; threads
