@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, Window
 
 from revlens.llm import kit
 from revlens.llm.secret_scan import SPANS
@@ -32,7 +33,9 @@ KINDS = ("email", "ip", "card", "phone")
 
 @dataclass(frozen=True)
 class Options:
-    """``max_rows`` bounds the texts that weights are fitted on."""
+    """Weights are fitted on at most ``max_rows`` texts, and on at most
+    ``max_zones`` zones of them: up to half of these hold entities, as many for
+    each kind, and up to half hold none. All texts are searched."""
 
     max_rows: int = 2_000
     max_zones: int = 3_000
@@ -302,34 +305,57 @@ def examples(text: str, turn: int) -> Iterator[tuple[str, list[tuple[int, int, i
             yield out + zone[at:], gold
 
 
+def least(orders: DataFrame, rows: int, wanted: int) -> list[int]:
+    """The ``wanted`` least different hashes of so many rows. Those below a bound
+    that about four times as many stay under are sorted, however many there are in
+    all; where repeated rows leave too few, the bound rises."""
+    part = 4 * wanted / max(rows, 1)
+    while True:
+        low = orders if part >= 1 else orders.where(F.col("order") < int(part * 2**64) - 2**63)
+        found = [r[0] for r in low.distinct().orderBy("order").limit(wanted).collect()]
+        if part >= 1 or len(found) == wanted:
+            return found
+        part *= 4
+
+
 def fit(df: DataFrame, options: Options = Options(), id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """From at most ``max_rows`` texts that hold an at sign or a long number,
-    chosen by a hash of their id."""
+    """From at most ``max_rows`` different texts that hold an at sign or a long
+    number, those of the least hashes of id and text, so the fit is the same
+    however the rows are dealt out. Only hashes are ordered; texts meet the chosen
+    ones where they are read."""
     o = options
+    stage = kit.Stage(df.sparkSession)
     rows = (
         df.select(F.col(id_col).alias("key"), F.col(text_col).cast("string").alias("text"))
         .where(F.col("text").rlike("[0-9]{3}|@"))
-        .select(F.xxhash64("key").alias("order"), "key", "text")
-        .orderBy("order", "key")
-        .limit(o.max_rows)
+        .select(F.xxhash64("key", "text").alias("order"), "text")
     )
-    shown = []
+    orders = stage.table(rows.select("order"), "orders")
+    chosen = least(orders, orders.count(), o.max_rows)
+    stage.drop(orders)
+    chosen = df.sparkSession.createDataFrame([(x,) for x in chosen], "order bigint")
+    picked = rows.join(F.broadcast(chosen), "order").groupBy("order").agg(F.first("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                {"zone": z, "gold": [list(g) for g in gold]}
-                for turn, t in enumerate(kit.texts_of(batch))
-                for z, gold in examples(t, turn)
+                {"kind": gold[0][1] if gold else -1, "zone": z, "gold": [list(g) for g in gold]}
+                for t in kit.texts_of(batch)
+                for z, gold in examples(t, zlib.crc32(t.encode()))
             ]
+            gold = pa.list_(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_pylist(
-                out, pa.schema([("zone", pa.string()), ("gold", pa.list_(pa.list_(pa.int32())))])
+                out, pa.schema([("kind", pa.int32()), ("zone", pa.string()), ("gold", gold)])
             )
 
-    found = rows.select("text").mapInArrow(cut, "zone string, gold array<array<int>>")
+    found = picked.select("text").mapInArrow(cut, "kind int, zone string, gold array<array<int>>")
+    order = (F.xxhash64("zone"), F.col("zone"), F.col("gold"))
+    of_kind = F.row_number().over(Window.partitionBy("kind").orderBy(*order))
+    half = o.max_zones // 2
+    share = F.when(F.col("kind") < 0, half).otherwise(half // len(KINDS))
     shown = [
         (r["zone"], [tuple(g) for g in r["gold"]])
-        for r in found.orderBy(F.xxhash64("zone"), "zone").limit(o.max_zones).collect()
+        for r in found.withColumn("place", of_kind).where(F.col("place") <= share).orderBy(*order).collect()
     ]
     field = Field({}, o)
     for epoch in range(o.epochs):

@@ -3,6 +3,8 @@ import re
 import time
 import zlib
 
+from pyspark.sql import functions as F
+
 from revlens.llm import pii, secret_scan as X
 from tests_llm_prose import sentences
 
@@ -99,6 +101,21 @@ def test_base_personal_data_equal_the_expressions():
         assert pii.base_spans(text) == brute_pii(text), text
 
 
+def test_fit_takes_the_least_hashes(spark, make_docs):
+    orders = spark.range(20_000).select(F.xxhash64("id").alias("order"))
+    every = sorted(r[0] for r in orders.collect())
+    assert pii.least(orders, 20_000, 50) == every[:50]
+    many = orders.union(spark.range(100_000).select(F.lit(2**62).alias("order")))
+    assert pii.least(many, 120_000, 50) == every[:50]
+    assert pii.least(orders.limit(20), 20, 50) == sorted(r[0] for r in orders.limit(20).collect())
+    texts = [f"{sentences(k, 9)} ann.{k}@mail{k}.example.com {k}55 {sentences(k, 4)}" for k in range(60)]
+    options = pii.Options(max_rows=20, epochs=1)
+    once = pii.fit(make_docs(texts), options).weights
+    # Repeated rows, and other tasks for them, change nothing.
+    again = make_docs(texts + texts[:1] * 500, ids=[*range(60), *[0] * 500]).repartition(5)
+    assert once and pii.fit(again, options).weights == once
+
+
 def test_field_adds_what_the_expressions_miss(make_docs, odd_texts):
     r = random.Random(3)
     number = lambda: f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"
