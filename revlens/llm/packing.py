@@ -10,6 +10,11 @@ Windows are planned in runs of ``run_windows``. Where a run begins in each queue
 follows from its number alone (an exact, monotone apportionment of the tokens
 before it, within a few tokens of the target), so any task plans any run, with
 the deficits carried into it, and tasks agree without talking to each other.
+
+More sources than ``fan_out`` are dealt into groups, and groups into groups, until
+one plan has few enough queues. A group is a queue whose tokens are in the order of
+its own plan, by the same round-robin, with windows as long as the group's share of
+one. So every source has a queue and a deficit, and no plan grows with their number.
 Target shares are the sources' own shares of all tokens, so all queues end
 together, every token is used, and only the last window is short.
 """
@@ -22,7 +27,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import chain
 
@@ -37,20 +42,22 @@ from revlens.llm.bpe import TwoGenerations, byte_letters, parts_of
 
 @dataclass(frozen=True)
 class Options:
-    """The ``own_queues`` largest sources have a queue each; all other sources
-    share one more, so a plan is small however many sources there are."""
+    """A plan has at most about ``fan_out`` queues; ``group_windows`` are the
+    windows in a run of a group's plan, ``salts`` the parts that groups are joined in."""
 
     length: int = 2048
     end_id: int = 1
-    own_queues: int = 255
+    fan_out: int = 256
     run_windows: int = 256
+    group_windows: int = 16
+    salts: int = 32
 
 
 class Mixture:
     """The plan of all windows for queues of the given token totals."""
 
-    def __init__(self, totals: list[int], options: Options):
-        self.totals, self.options = totals, options
+    def __init__(self, totals: list[int], options: Options, held: int = 64):
+        self.totals, self.options, self.held = totals, options, held
         self.all = sum(totals)
         self.run_tokens = options.length * options.run_windows
         self.runs = -(-self.all // self.run_tokens)
@@ -62,6 +69,8 @@ class Mixture:
         floor of its share, the other the rest, and so on down to one queue: sums
         are exact and no count ever falls from one run to the next."""
         if run not in self._starts:
+            if len(self._starts) > 4 * self.held:
+                self._starts.clear()
             out = [0] * len(self.totals)
             todo = [(0, len(self.totals), min(run * self.run_tokens, self.all))]
             while todo:
@@ -80,7 +89,7 @@ class Mixture:
         """For a run's windows, where each begins in each queue (one row more
         than windows), and where each queue's tokens begin in the window."""
         if run not in self._plans:
-            if len(self._plans) > 64:
+            if len(self._plans) >= self.held:
                 self._plans.clear()
             self._plans[run] = self._round_robin(run)
         return self._plans[run]
@@ -143,6 +152,48 @@ class Mixture:
             run += 1
 
 
+class Tree:
+    """The root's plan, and the plans of groups as rows bring their totals."""
+
+    def __init__(self, totals: list[int], options: Options):
+        self.options = options
+        self.root = Mixture(totals, options)
+        self._groups: dict[tuple[int, int], Mixture] = {}
+
+    def group(self, level: int, node: int, totals: list[int]) -> Mixture:
+        if (level, node) not in self._groups:
+            if len(self._groups) >= 256:
+                self._groups.clear()
+            length = max(1, self.options.length * sum(totals) // self.root.all)
+            own = replace(self.options, length=length, run_windows=self.options.group_windows)
+            self._groups[level, node] = Mixture(totals, own, 4)
+        return self._groups[level, node]
+
+    def pieces(
+        self, path: list[list[int]], node: int, queue: int, place: int, tokens: int
+    ) -> Iterator[tuple[int, int, int, int]]:
+        """(start, tokens, window, offset) of each piece of a stretch of a source:
+        a piece of a group's plan is a stretch of the queue that the group is in the
+        next plan. ``path`` has the totals of the groups from the source upwards,
+        ``node`` is the number of the first."""
+        plans = []
+        for level, totals in enumerate(path):
+            plans.append((self.group(level, node, totals), queue))
+            node, queue = divmod(node, self.options.fan_out)
+        return self._laid(plans + [(self.root, queue)], 0, place, tokens)
+
+    def _laid(self, plans: list, level: int, place: int, tokens: int):
+        mixture, queue = plans[level]
+        for begin, size, window, offset in mixture.pieces(queue, place, place + tokens):
+            start = begin - place
+            if level == len(plans) - 1:
+                yield start, size, window, offset
+                continue
+            at = window * mixture.options.length + offset
+            for more, part, whole, there in self._laid(plans, level + 1, at, size):
+                yield start + more, part, whole, there
+
+
 # Letters below this code are letters in every version of Unicode.
 _LATIN = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 # The library's splitting, for ASCII and these letters alone.
@@ -317,51 +368,39 @@ def pack(
         F.col(source_col).cast("string").alias("source"),
     )
     docs = stage.table(tokenized(narrow, path, options), "ids")
-    by_source = docs.groupBy("source").agg(F.sum("tokens").alias("n"))
-    by_source = stage.table(by_source, "sources")
-    largest = by_source.orderBy(F.desc("n"), "source").limit(options.own_queues).collect()
-    whole = by_source.agg(F.sum("n")).first()[0] or 0
-    own = [r["source"] for r in largest]
-    totals = [r["n"] for r in largest]
-    rest = whole - sum(totals)
-    if not whole:
+    by_source = stage.table(docs.groupBy("source").agg(F.sum("tokens").alias("n")), "sources")
+    sources = by_source.count()
+    if not sources:
         return df.sparkSession.createDataFrame([], _schema(df, id_col, with_ids))
-    mixture = Mixture(totals + [rest] * (rest > 0), options)
-
-    queues = df.sparkSession.createDataFrame(
-        [(s, k) for k, s in enumerate(own)], "name string, queue int"
-    )
-    # Where each source's part of a block begins in its queue, by two running
-    # sums: over the blocks of a queue, then inside a block over its sources.
+    leaves, paths, totals = grouped(by_source, sources, options, stage)
+    # Where a source's part of a block begins in its queue.
     parts = docs.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
-    parts = parts.join(
-        F.broadcast(queues), F.col("source").eqNullSafe(F.col("name")), "left"
-    ).select("source", "block", "n", F.coalesce("queue", F.lit(len(own))).alias("queue"))
-    blocks = parts.groupBy("queue", "block").agg(F.sum("n").alias("n"))
-    ahead = Window.partitionBy("queue").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select(
-        "queue", "block", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("blocks_ahead")
-    )
-    inside = (
-        Window.partitionBy("queue", "block")
-        .orderBy("source")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    parts = parts.withColumn("ahead", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("base", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
     bases = stage.table(
-        parts.join(blocks, ["queue", "block"]).select(
-            F.col("source").alias("of_source"),
-            F.col("block").alias("of_block"),
-            "queue",
-            (F.col("ahead") + F.col("blocks_ahead")).alias("base"),
+        parts.join(
+            leaves.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name"))
+        ).select(
+            F.col("source").alias("of_source"), F.col("block").alias("of_block"), "node", "queue", "base"
         ),
         "bases",
     )
     placed = docs.join(
         bases,
         (F.col("block") == F.col("of_block")) & F.col("source").eqNullSafe(F.col("of_source")),
-    ).select("key", "source", "queue", (F.col("base") + F.col("first")).alias("place"), "tokens", "ids")
-    shared = df.sparkSession.sparkContext.broadcast(mixture)
+    ).withColumn("place", F.col("base") + F.col("first"))
+    if paths is None:
+        placed = placed.withColumn("path", F.lit(None).cast("array<array<bigint>>"))
+    else:
+        # A group's rows are split by their block, so that none is met by one task.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(options.salts - 1)))
+        paths = paths.select(F.col("node").alias("of_node"), "path", salts.alias("salt"))
+        placed = placed.join(
+            paths,
+            (F.col("node") == F.col("of_node")) & (F.col("block") % options.salts == F.col("salt")),
+        )
+    placed = placed.select("key", "source", "path", "node", "queue", "place", "tokens", "ids")
+    shared = df.sparkSession.sparkContext.broadcast(Tree(totals, options))
     names = [id_col, *PIECE, *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,6 +412,53 @@ def pack(
     return placed.mapInArrow(cut, _schema(df, id_col, with_ids))
 
 
+def grouped(
+    by_source: DataFrame, sources: int, options: Options, stage: kit.Stage
+) -> tuple[DataFrame, DataFrame | None, list[int]]:
+    """From (source, n): each source's group and queue in it (source, node, queue),
+    the totals of each group and those above it (node, path) below the root, and the
+    root's totals. Up to ``fan_out`` sources are the root's own queues."""
+    spread, width = options.fan_out, 1
+    if sources > spread:
+        # Half full on average, so that a group by hash stays within about fan_out.
+        width = -(-2 * sources // spread)
+    node = F.pmod(F.xxhash64("source"), F.lit(width))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("n"), "source"))
+    leaves = by_source.withColumn("node", node)
+    leaves = stage.table(leaves.select("source", "node", "n", (rank - 1).alias("queue")), "leaves")
+    level = totals_of(leaves)
+    paths, height = None, 0
+    while width > 1:
+        level = stage.table(level, f"groups-{height}")
+        here = level.select(F.col("node").alias("at"), "totals")
+        if paths is None:
+            paths = here.select(F.col("at").alias("node"), F.array("totals").alias("path"))
+        else:
+            paths = paths.join(
+                here, F.expr(f"node div {spread**height}") == F.col("at")
+            ).select("node", F.concat("path", F.array("totals")).alias("path"))
+        above = level.select(
+            F.expr(f"node div {spread}").alias("node"), (F.col("node") % spread).alias("queue"), "n"
+        )
+        level, width, height = totals_of(above), -(-width // spread), height + 1
+    # One row of at most about fan_out numbers.
+    return leaves.drop("n"), paths, level.first()["totals"]
+
+
+def totals_of(queues: DataFrame) -> DataFrame:
+    """(node, totals, n) from (node, queue, n), zero where a queue is missing."""
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("queue").cast("int"), "n")))
+    return queues.groupBy("node").agg(
+        pairs.alias("pairs"), F.max("queue").cast("int").alias("last"), F.sum("n").alias("n")
+    ).select(
+        "node",
+        F.transform(
+            F.sequence(F.lit(0), F.col("last")), lambda q: F.coalesce(F.col("pairs")[q], F.lit(0))
+        ).alias("totals"),
+        "n",
+    )
+
+
 PIECE = (
     "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source",
 )
@@ -386,16 +472,15 @@ def _schema(df: DataFrame, id_col: str, with_ids: bool) -> str:
     )
 
 
-def _pieces(batch: pa.RecordBatch, mixture: Mixture, with_ids: bool) -> pa.RecordBatch:
+def _pieces(batch: pa.RecordBatch, tree: Tree, with_ids: bool) -> pa.RecordBatch:
     rows, found, pieces_ids = [], [], []
-    names = ("queue", "place", "tokens", "ids")
-    for row, (queue, place, tokens, raw) in enumerate(
+    names = ("path", "node", "queue", "place", "tokens", "ids")
+    for row, (path, node, queue, place, tokens, raw) in enumerate(
         zip(*(batch.column(n).to_pylist() for n in names))
     ):
         ids = np.frombuffer(raw, f"<u{len(raw) // tokens}").astype("<u4")
         whole = memoryview(ids.tobytes())
-        for begin, size, window, offset in mixture.pieces(queue, place, place + tokens):
-            start = begin - place
+        for start, size, window, offset in tree.pieces(path or [], node, queue, place, tokens):
             rows.append(row)
             crc = zlib.crc32(whole[4 * start : 4 * (start + size)])
             found.append((start, size, crc, tokens, window, offset))

@@ -48,7 +48,7 @@ def test_encode_decode_of_odd_rows(make_docs, odd_texts, vocabulary):
 
 
 @pytest.mark.parametrize(
-    "options", [packing.Options(length=64, run_windows=4), packing.Options(own_queues=2, length=128)]
+    "options", [packing.Options(length=64, run_windows=4), packing.Options(fan_out=2, length=128)]
 )
 def test_packing(make_docs, odd_texts, vocabulary, library, options):
     texts = odd_texts + [sentences(k, 10 + 30 * (k % 5)) for k in range(60)]
@@ -79,6 +79,33 @@ def test_packing(make_docs, odd_texts, vocabulary, library, options):
         assert abs(have - big * options.length) <= 4
 
 
+def test_every_source_keeps_its_share(make_docs, vocabulary):
+    """A thousand sources, one of them with a third of the tokens."""
+    r = random.Random(2)
+    sources = [f"s{k % 1000}" if k % 3 else "big" for k in range(3000)]
+    texts = [" ".join(r.choices(["a", "the", "word", "of"], k=60)) for _ in sources]
+    docs = make_docs(texts, sources=sources)
+    options = packing.Options(run_windows=8)
+    rows = packing.pack(docs, vocabulary, options, with_ids=False).collect()
+    totals, have = {}, {}
+    for p in rows:
+        totals[p.source] = totals.get(p.source, 0) + p.length
+        have[p.sequence_id, p.source] = have.get((p.sequence_id, p.source), 0) + p.length
+    whole = sum(totals.values())
+    full = max(p.sequence_id for p in rows)
+    assert full > 80 and len(totals) > 600
+    for window in range(full):
+        for source, n in totals.items():
+            off = have.get((window, source), 0) - n / whole * options.length
+            assert abs(off) <= 8, (window, source, off)
+    # over all windows so far, too
+    for source, n in totals.items():
+        so_far = 0.0
+        for window in range(full):
+            so_far += have.get((window, source), 0) - n / whole * options.length
+            assert abs(so_far) <= 16, (window, source, so_far)
+
+
 def test_packing_of_no_rows(make_docs, vocabulary):
     out = packing.pack(make_docs(["a"]).where("false"), vocabulary)
     assert out.count() == 0 and "sequence_id" in out.columns
