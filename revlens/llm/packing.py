@@ -15,8 +15,10 @@ More sources than ``fan_out`` are dealt into groups, and groups into groups, unt
 one plan has few enough queues. A group is a queue whose tokens are in the order of
 its own plan, by the same round-robin, with windows as long as the group's share of
 one. So every source has a queue and a deficit, and no plan grows with their number.
-Target shares are the sources' own shares of all tokens, so all queues end
-together, every token is used, and only the last window is short.
+Target shares are the sources' own shares of all tokens unless ``targets`` names
+others. With their own shares all queues end together; with others, a queue that has
+ended leaves its share to the rest in proportion. Every token is used either way, and
+only the last window is short.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, replace
+from fractions import Fraction
 from functools import lru_cache
 from itertools import chain
 
@@ -56,9 +60,17 @@ class Options:
 class Mixture:
     """The plan of all windows for queues of the given token totals."""
 
-    def __init__(self, totals: list[int], options: Options, held: int = 64):
-        self.totals, self.options, self.held = totals, options, held
+    def __init__(
+        self, totals: list[int], options: Options, held: int = 64, weights: list[int] | None = None
+    ):
+        """``weights``: what a window's tokens are dealt by instead of the totals."""
+        self.totals, self.options, self.held, self.weights = totals, options, held, weights
         self.all = sum(totals)
+        if weights:
+            # Queues in the order in which they end.
+            self.ending = sorted(
+                (k for k in range(len(totals)) if totals[k]), key=lambda k: Fraction(totals[k], weights[k])
+            )
         self.run_tokens = options.length * options.run_windows
         self.runs = -(-self.all // self.run_tokens)
         self._plans: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -79,12 +91,46 @@ class Mixture:
                     out[low] = tokens
                 elif high > low:
                     middle = (low + high) // 2
-                    whole = sum(self.totals[low:high])
-                    left = tokens * sum(self.totals[low:middle]) // whole if whole else 0
+                    left = self._left(low, middle, high, tokens)
                     todo += [(low, middle, left), (middle, high, tokens - left)]
             self._starts[run] = out
         return self._starts[run]
 
+    def _left(self, low: int, middle: int, high: int, tokens: int) -> int:
+        """What the first of two halves has given when both have given so many."""
+        if not self.weights:
+            whole = sum(self.totals[low:high])
+            return tokens * sum(self.totals[low:middle]) // whole if whole else 0
+        ended, over, parts = self._level(low, high, tokens)
+        left = sum(self.totals[k] for k in ended if k < middle)
+        going = sum(self.weights[k] for k in parts if k < middle)
+        return left + (over * going // sum(self.weights[k] for k in parts) if parts else 0)
+
+    def _level(self, low: int, high: int, tokens: int) -> tuple[list[int], int, list[int]]:
+        """The queues that have ended when a range has given so many tokens, the
+        tokens of the others, and the others."""
+        order = [k for k in self.ending if low <= k < high]
+        weight = sum(self.weights[k] for k in order)
+        for at, k in enumerate(order):
+            if self.totals[k] * weight > tokens * self.weights[k]:
+                return order[:at], tokens, order[at:]
+            tokens -= self.totals[k]
+            weight -= self.weights[k]
+        return order, 0, []
+
+    def _owed(self, tokens: int, given: list[int]) -> np.ndarray:
+        """The deficits of all queues after so many tokens in all."""
+        if not self.weights:
+            return np.array([(tokens * t - x * self.all) / self.all for t, x in zip(self.totals, given)])
+        ended, over, parts = self._level(0, len(self.totals), tokens)
+        due = [Fraction(0)] * len(self.totals)
+        whole = sum(self.weights[k] for k in parts)
+        for k in ended:
+            due[k] = Fraction(self.totals[k])
+        for k in parts:
+            due[k] = Fraction(over * self.weights[k], whole)
+        return np.array([float(d - x) for d, x in zip(due, given)])
+
     def plan(self, run: int) -> tuple[np.ndarray, np.ndarray]:
         """For a run's windows, where each begins in each queue (one row more
         than windows), and where each queue's tokens begin in the window."""
@@ -98,14 +144,16 @@ class Mixture:
         length = self.options.length
         first, last = self.starts(run), self.starts(run + 1)
         before = min(run * self.run_tokens, self.all)
-        deficit = np.array(
-            [(before * t - x * self.all) / self.all for t, x in zip(self.totals, first)]
-        )
-        share = np.array([t / self.all for t in self.totals])
+        deficit = self._owed(before, first)
+        weights = np.array(self.weights or self.totals, float)
+        share = weights / weights.sum()
         left = np.array([b - a for a, b in zip(first, last)], np.int64)
         takes = []
         while rest := int(left.sum()):
             room = min(length, rest)
+            if self.weights:
+                # What has ended in this run leaves its share to the rest.
+                share = weights * (left > 0) / weights[left > 0].sum()
             deficit += room * share
             take = np.clip(np.floor(deficit), 0, left).astype(np.int64)
             spare = room - int(take.sum())
@@ -125,6 +173,8 @@ class Mixture:
 
     def run_of(self, queue: int, place: int) -> int:
         """The run that holds a token of a queue."""
+        if self.weights:
+            return bisect_right(range(self.runs), place, key=lambda r: self.starts(r)[queue]) - 1
         run = min(place * self.all // max(self.totals[queue], 1) // self.run_tokens, self.runs - 1)
         while self.starts(run)[queue] > place:
             run -= 1
@@ -153,18 +203,24 @@ class Mixture:
 
 
 class Tree:
-    """The root's plan, and the plans of groups as rows bring their totals."""
+    """The root's plan, and the plans of groups as rows bring their totals.
+    ``grouped``: the tokens of all sources in groups, and their share of a window."""
 
-    def __init__(self, totals: list[int], options: Options):
+    def __init__(
+        self, totals: list[int], options: Options, weights: list[int] | None = None,
+        grouped: tuple[int, Fraction] | None = None,
+    ):
         self.options = options
-        self.root = Mixture(totals, options)
+        self.root = Mixture(totals, options, weights=weights)
+        self.grouped = grouped or (self.root.all, Fraction(1))
         self._groups: dict[tuple[int, int], Mixture] = {}
 
     def group(self, level: int, node: int, totals: list[int]) -> Mixture:
         if (level, node) not in self._groups:
             if len(self._groups) >= 256:
                 self._groups.clear()
-            length = max(1, self.options.length * sum(totals) // self.root.all)
+            tokens, share = self.grouped
+            length = max(1, int(self.options.length * share * sum(totals) / tokens))
             own = replace(self.options, length=length, run_windows=self.options.group_windows)
             self._groups[level, node] = Mixture(totals, own, 4)
         return self._groups[level, node]
@@ -352,10 +408,16 @@ def pack(
     text_col: str = "text",
     source_col: str = "source",
     with_ids: bool = True,
+    targets: Mapping[str, float] | None = None,
 ) -> DataFrame:
     """One row for each piece: (id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, source), and its ids as an array if asked for.
 
+    ``targets``: shares of a window for at most ``fan_out`` named sources, above 0
+    and together below 1, or 1 where they are all; other sources share the rest by
+    their tokens, and also what is named for sources without rows. Where every source
+    is named, shares are taken in proportion.
+
     A null or empty text is a document of the end token alone; null sources are a
     source; rows with null or repeated ids are documents of their own; other
     columns are left out. A document of any length is cut across windows. An
@@ -369,10 +431,9 @@ def pack(
     )
     docs = stage.table(tokenized(narrow, path, options), "ids")
     by_source = stage.table(docs.groupBy("source").agg(F.sum("tokens").alias("n")), "sources")
-    sources = by_source.count()
-    if not sources:
+    if by_source.isEmpty():
         return df.sparkSession.createDataFrame([], _schema(df, id_col, with_ids))
-    leaves, paths, totals = grouped(by_source, sources, options, stage)
+    leaves, paths, tree = mixed(by_source, options, stage, targets or {})
     # Where a source's part of a block begins in its queue.
     parts = docs.groupBy("source", "block").agg(F.sum("tokens").alias("n"))
     ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -400,7 +461,7 @@ def pack(
             (F.col("node") == F.col("of_node")) & (F.col("block") % options.salts == F.col("salt")),
         )
     placed = placed.select("key", "source", "path", "node", "queue", "place", "tokens", "ids")
-    shared = df.sparkSession.sparkContext.broadcast(Tree(totals, options))
+    shared = df.sparkSession.sparkContext.broadcast(tree)
     names = [id_col, *PIECE, *["ids"] * with_ids]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,6 +473,52 @@ def pack(
     return placed.mapInArrow(cut, _schema(df, id_col, with_ids))
 
 
+SCALE = 10**9
+
+
+def mixed(
+    by_source: DataFrame, options: Options, stage: kit.Stage, targets: Mapping[str, float]
+) -> tuple[DataFrame, DataFrame | None, Tree]:
+    """The queue of each source, the groups' totals, and the plan. Named sources are
+    queues of the root, and all others together are its queue 0."""
+    if len(targets) > options.fan_out or any(v <= 0 for v in targets.values()):
+        raise ValueError(f"targets: at most {options.fan_out} shares above 0")
+    given = F.col("source").isin(list(targets)) & F.col("source").isNotNull()
+    # At most fan_out rows.
+    own = by_source.where(given).orderBy("source").collect() if targets else []
+    rest = by_source.where(~given) if own else by_source
+    sources = rest.count()
+    taken = sum(targets[r["source"]] for r in own)
+    if taken > 1 + 1e-9 or (own and sources and taken > 1 - 1 / SCALE):
+        raise ValueError("targets: shares above 1, or nothing left for other sources")
+    if not own:
+        leaves, paths, totals = grouped(rest, sources, options, stage)
+        return leaves, paths, Tree(totals, options)
+    weights = [max(1, round(SCALE * targets[r["source"]])) for r in own]
+    other = max(0, SCALE - sum(weights))
+    named = by_source.sparkSession.createDataFrame(
+        [(r["source"], 0, k) for k, r in enumerate(own, 1)], "source string, node int, queue int"
+    )
+    none = F.array().cast("array<array<bigint>>")
+    if not sources:
+        tree = Tree([0, *(r["n"] for r in own)], options, [1, *weights])
+        return named, None, tree
+    leaves, paths, totals = grouped(rest, sources, options, stage)
+    # The rest's plan is one level more; a named source's path, of group -1, has none.
+    last = F.array(F.array(*[F.lit(t).cast("bigint") for t in totals]))
+    if paths is None:
+        paths = leaves.select("node").distinct().withColumn("path", last)
+    else:
+        paths = paths.withColumn("path", F.concat("path", last))
+    own_path = by_source.sparkSession.range(1).select(F.lit(-1).alias("node"), none.alias("path"))
+    tree = Tree(
+        [sum(totals), *(r["n"] for r in own)], options, [other, *weights],
+        (sum(totals), Fraction(other, other + sum(weights))),
+    )
+    named = named.withColumn("node", F.lit(-1))
+    return leaves.unionByName(named), paths.unionByName(own_path), tree
+
+
 def grouped(
     by_source: DataFrame, sources: int, options: Options, stage: kit.Stage
 ) -> tuple[DataFrame, DataFrame | None, list[int]]:

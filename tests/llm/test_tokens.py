@@ -106,6 +106,66 @@ def test_every_source_keeps_its_share(make_docs, vocabulary):
             assert abs(so_far) <= 16, (window, source, so_far)
 
 
+@pytest.mark.parametrize("fan_out", [2, 256])
+def test_target_shares(make_docs, vocabulary, fan_out):
+    r = random.Random(3)
+    sources = [r.choice(["a", "b", "c", "d", "e"]) for _ in range(600)]
+    texts = [" ".join(r.choices(["a", "the", "word", "of"], k=50)) for _ in sources]
+    docs = make_docs(texts, sources=sources)
+    options = packing.Options(length=256, run_windows=8, fan_out=fan_out)
+    targets = {"a": 0.5, "b": 0.3} | ({"none": 0.1} if fan_out > 2 else {})
+    rows = packing.pack(docs, vocabulary, options, with_ids=False, targets=targets).collect()
+    totals, have, ends = {}, {}, {}
+    for p in rows:
+        totals[p.source] = totals.get(p.source, 0) + p.length
+        have[p.sequence_id, p.source] = have.get((p.sequence_id, p.source), 0) + p.length
+        ends[p.source] = max(ends.get(p.source, 0), p.sequence_id)
+    assert totals["a"] == sum(51 for s in sources if s == "a")
+    full = max(p.sequence_id for p in rows)
+    filled = [sum(have.get((k, s), 0) for s in totals) for k in range(full + 1)]
+    assert filled[:full] == [256] * full and 0 < filled[full] <= 256
+    rest = sum(totals[s] for s in "cde")
+    want = {"a": 0.5, "b": 0.3} | {s: 0.2 * totals[s] / rest for s in "cde"}
+    assert ends["a"] < ends["b"] < full
+    for k in range(ends["a"]):
+        for s, share in want.items():
+            assert abs(have.get((k, s), 0) - 256 * share) <= 8, (k, s)
+    for k in range(ends["a"] + 1, ends["b"]):
+        for s in "bcde":
+            assert abs(have.get((k, s), 0) - 256 * want[s] / (1 - want["a"])) <= 10, (k, s)
+
+
+def test_target_shares_of_all_sources(make_docs, vocabulary):
+    docs = make_docs(["a b c d"] * 90, sources=["a", "b", "a"] * 30)
+    options = packing.Options(length=16, run_windows=4)
+    rows = packing.pack(docs, vocabulary, options, targets={"a": 0.5, "b": 0.5}).collect()
+    halves = [sum(p.length for p in rows if p.sequence_id == 3 and p.source == s) for s in "ab"]
+    assert sum(halves) == 16 and abs(halves[0] - 8) <= 2
+    assert sum(p.length for p in rows) == sum({p.doc_id: p.doc_tokens for p in rows}.values())
+    for wrong in ({"a": 0.0}, {"a": 1.2}, {"a": 1.0}):
+        with pytest.raises(ValueError):
+            packing.pack(docs, vocabulary, options, targets=wrong)
+
+
+def test_weighted_plan_takes_every_token_once():
+    r = random.Random(6)
+    for _ in range(60):
+        totals = [r.choice([0, 1, 3, 50, 1000, 9000]) for _ in range(r.randint(1, 9))] + [5]
+        weights = [r.choice([1, 7, 1000, 10**8]) for _ in totals]
+        mix = packing.Mixture(totals, packing.Options(length=32, run_windows=8), weights=weights)
+        for run in range(mix.runs):
+            low, high = mix.starts(run), mix.starts(run + 1)
+            assert all(a <= b for a, b in zip(low, high))
+            edges, _ = mix.plan(run)
+            assert edges[0].tolist() == low and edges[-1].tolist() == high
+            takes = np.diff(edges, axis=0)
+            assert (takes >= 0).all() and (takes[:-1].sum(1) == 32).all()
+        assert mix.starts(mix.runs) == totals
+        for queue, total in enumerate(totals):
+            got = [n for _, n, _, _ in mix.pieces(queue, 0, total)] if total else []
+            assert sum(got) == total
+
+
 def test_packing_of_no_rows(make_docs, vocabulary):
     out = packing.pack(make_docs(["a"]).where("false"), vocabulary)
     assert out.count() == 0 and "sequence_id" in out.columns
