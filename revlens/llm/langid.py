@@ -23,13 +23,10 @@ from revlens.llm import kit
 @dataclass(frozen=True)
 class Options:
     """``min_share`` bounds what is learned: a language keeps n-grams that make
-    up at least this share of all its n-grams, so at most 1 / min_share of them.
-    ``dominance``: a language also needs this part of the largest share that any
-    language gives the n-gram."""
+    up at least this share of all its n-grams, so at most 1 / min_share of them."""
 
     orders: tuple[int, ...] = (3, 4)
     min_share: float = 1e-5
-    dominance: float = 0.2
     slots_per_key: int = 16
     hashes: int = 3
     max_languages: int = 1024
@@ -183,11 +180,9 @@ def fit(df: DataFrame, options: Options = Options()) -> Filter:
         .withColumn("share", F.col("n") / F.col("all"))
         .where(F.col("share") >= options.min_share)
     )
-    rows = shares.select("lang", "gram", "share").toPandas()
+    rows = shares.select("lang", "gram").toPandas()
     if rows.empty:
         return Filter(found, np.zeros(0, np.uint64), np.zeros((0, 1), np.uint64), options)
-    top = rows.groupby("gram")["share"].transform("max")
-    rows = rows[rows["share"] >= options.dominance * top]
     number = rows["lang"].map({l: k for k, l in enumerate(found)}).to_numpy()
     keys, where = np.unique(rows["gram"].to_numpy().view(np.uint64), return_inverse=True)
     masks = np.zeros((len(keys), (len(found) + 63) // 64), np.uint64)
