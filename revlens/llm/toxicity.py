@@ -31,6 +31,16 @@ from revlens.llm.bpe import TwoGenerations
 QUOTES = "\"“”„«»‘’"
 ADDRESSED = frozenset("you your you're u du dich dir dein deine ihr euch tu te toi ton vous votre usted tú ti".split())
 _EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_LETTERS = re.compile(r"[^\W\d_]+")
+SHORTEST = 3
+
+
+def words_of(token: str) -> list[str]:
+    """The words that a token without blanks may hold: itself without what stands
+    around its letters, then its runs of letters if other signs part them."""
+    whole = _EDGES.sub("", token)
+    runs = [] if whole.isalpha() else _LETTERS.findall(whole)
+    return [w for w in [whole, *(runs if len(runs) > 1 else [])] if len(w) >= SHORTEST]
 
 
 @dataclass(frozen=True)
@@ -57,7 +67,7 @@ class Node:
 
 def allowed(length: int) -> int:
     """Edits that a term of this length forgives."""
-    return 0 if length < 5 else 1
+    return 0 if length < 4 else 1
 
 
 class Lexicon:
@@ -85,10 +95,13 @@ class Lexicon:
             else:
                 node.word = weight
         self.stem_sizes = sorted({len(s) for s in self.stems})
+        # No term reads a word beyond this: a longer word is like its beginning.
+        self.reach = max((len(t.rstrip("*")) for t in terms), default=0) + 2
 
     def nearest(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the best term for a word: fewest edits, then most
         weight. A stem matches a word that goes on after it."""
+        word = word[: self.reach]
         found = self.find(word)
         if found and not found[1]:
             return found
@@ -149,12 +162,16 @@ class Scorer:
         self.seen = TwoGenerations(200_000)
 
     def _look_up(self, tokens: list[str]) -> list[tuple]:
-        out = []
-        for token in tokens:
-            word = _EDGES.sub("", token)
-            found = self.lexicon.nearest(word) if 3 <= len(word) <= 40 else None
-            out.append(found or NONE)
-        return out
+        return [self._hits(token) for token in tokens]
+
+    def _hits(self, token: str) -> tuple:
+        """(weight, edits) of the whole token, or of each of its words."""
+        words = words_of(token)
+        found = self.lexicon.nearest(words[0]) if words else None
+        if len(words) == 1 or (found and not found[1]):
+            return (found,) if found else NONE
+        inner = tuple(hit for w in words[1:] if (hit := self.lexicon.nearest(w)))
+        return inner or ((found,) if found else NONE)
 
     def features(self, text: str) -> list[float]:
         """Sums of weights: own voice exact, own voice misspelled, quoted,
@@ -164,19 +181,20 @@ class Scorer:
         if not tokens:
             return sums
         hits = 0
-        found = self.seen.get_all(tokens, self._look_up)
-        for at, hit in enumerate(found):
-            if hit is NONE or not hit:
+        for at, found in enumerate(self.seen.get_all(tokens, self._look_up)):
+            if not found:
                 continue
-            weight, edits = hit
             hits += 1
             near = tokens[max(0, at - self.options.window) : at + self.options.window + 1]
-            if quoted(tokens, at, self.options.window):
-                sums[2] += weight
-                continue
-            sums[1 if edits else 0] += weight
-            if not ADDRESSED.isdisjoint(near):
-                sums[3] += weight
+            in_quotes = quoted(tokens, at, self.options.window)
+            addressed = not ADDRESSED.isdisjoint(near)
+            for weight, edits in found:
+                if in_quotes:
+                    sums[2] += weight
+                    continue
+                sums[1 if edits else 0] += weight
+                if addressed:
+                    sums[3] += weight
         return [math.log1p(s) for s in sums[:4]] + [hits / len(tokens)]
 
 
@@ -195,8 +213,7 @@ def quoted(tokens: list[str], at: int, window: int) -> bool:
 
 
 def terms_of(text: str, options: Options) -> set[str]:
-    words = {_EDGES.sub("", t) for t in set(text.lower().split())}
-    out = {w for w in words if 3 <= len(w) <= 40}
+    out = {w for t in set(text.lower().split()) for w in words_of(t)}
     return out | {w[:n] + "*" for w in out for n in options.stems if len(w) > n}
 
 
