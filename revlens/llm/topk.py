@@ -154,6 +154,37 @@ def found_rows(queries: pd.DataFrame, best: Best) -> pd.DataFrame:
     )
 
 
+def last_shards(queries: pd.DataFrame, floor: np.ndarray, tops: np.ndarray) -> np.ndarray:
+    """For each query the last shard whose longest vector can reach its floor, by
+    Cauchy-Schwarz; ``tops``: the shards' largest lengths, descending."""
+    tops = np.maximum.accumulate(tops[::-1])[::-1]
+    long = np.sqrt(queries["norm2"].to_numpy(float))
+    need = (floor.astype(np.float64) - 1e-6) / np.maximum(long, 1e-300) / (1 + 1e-9)
+    kept = len(tops) - np.searchsorted(tops[::-1], need, "left")
+    return np.maximum(np.where(long > 0, kept, len(tops)) - 1, 0).astype(np.int32)
+
+
+def meetings(
+    queries: DataFrame, vectors: DataFrame, shards: int
+) -> tuple[DataFrame, DataFrame]:
+    """Queries once for each shard that they need, and vectors once for each block
+    with such a query: both sides with (block, shard), each group of bounded size."""
+    needed = queries.groupBy("block").agg(F.max("last").alias("last")).toPandas()
+    # Blocks 0 to upto[s] - 1 meet shard s.
+    upto = np.zeros(shards, np.int64)
+    np.maximum.at(upto, needed["last"].to_numpy(), needed["block"].to_numpy() + 1)
+    upto = np.maximum.accumulate(upto[::-1])[::-1]
+    # One row for each shard that is met.
+    rows = [(s, int(n)) for s, n in enumerate(upto) if n]
+    met = vectors.sparkSession.createDataFrame(rows, "shard int, upto int")
+    left = queries.select("*", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("shard"))
+    right = vectors.join(F.broadcast(met), "shard").select(
+        "vec_id", "x", "norm2", "shard",
+        F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("block"),
+    )
+    return left, right
+
+
 def top_k(
     df: DataFrame,
     is_query: Column,
@@ -170,7 +201,8 @@ def top_k(
     repeat an id are candidates of their own, but not for a query of that id. No
     vectors, no rows. Other columns are left out.
 
-    Queries and candidates meet as block by shard, each of bounded size.
+    Queries and candidates meet as block by shard, each of bounded size, and only
+    where the shard's longest vector can reach a query's floor.
     """
     o = options
     spark = df.sparkSession
@@ -191,32 +223,34 @@ def top_k(
     sorted_ = stage.table(ranged.withColumn("shard", F.spark_partition_id()), "by_norm")
     turn = rotation(sorted_, width)
     head = sorted_.orderBy(F.desc("norm2"), "vec_id").limit(o.head).toPandas()
-    constants = spark.sparkContext.broadcast((turn, head))
-
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
-    queries = sorted_.where(is_query).select("vec_id", "x", "norm2", block.alias("block"))
+    # One number for every shard_rows vectors.
+    longest = sorted_.groupBy("shard").agg(F.max("norm2").alias("norm2")).toPandas()
+    tops = np.zeros(shards)
+    tops[longest["shard"]] = np.sqrt(longest["norm2"])
+    constants = spark.sparkContext.broadcast((turn, head, tops))
+    queries = sorted_.where(is_query).select("vec_id", "x", "norm2")
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Every query's k-th best score among the longest vectors."""
-        turn, head = constants.value
+        """Every query's k-th best score among the longest vectors, and the last
+        shard that can reach it."""
+        turn, head, tops = constants.value
         for batch in batches:
             for at in range(0, len(batch), o.query_rows):
                 part = batch.iloc[at : at + o.query_rows]
-                yield part.assign(floor=search(part, head, turn, o).floor())
-
-    wide = "vec_id bigint, x array<bigint>, norm2 double, block int, floor bigint"
-    started = stage.table(queries.mapInPandas(start, wide), "queries")
+                floor = search(part, head, turn, o).floor()
+                yield part.assign(floor=floor, last=last_shards(part, floor, tops))
 
-    # Each block of queries meets each shard once; what a group holds is bounded.
-    each_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    each_block = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    left = started.select("*", each_shard).groupBy("block", "shard")
-    right = sorted_.select("vec_id", "x", "norm2", "shard", each_block).groupBy("block", "shard")
+    wide = "vec_id bigint, x array<bigint>, norm2 double, floor bigint, last int"
+    started = stage.table(queries.mapInPandas(start, wide), "started")
+    dealt = started.repartitionByRange(blocks, F.desc("last"), "vec_id")
+    dealt = stage.table(dealt.withColumn("block", F.spark_partition_id()), "queries")
+    left, right = meetings(dealt, sorted_, shards)
+    left, right = left.groupBy("block", "shard"), right.groupBy("block", "shard")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        turn, _ = constants.value
+        turn, _, _ = constants.value
         return found_rows(left, search(left, right, turn, o, left["floor"].to_numpy()))
 
     found = left.cogroup(right).applyInPandas(meet, FOUND)
