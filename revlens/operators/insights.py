@@ -237,9 +237,10 @@ RUN_LOG_SCHEMA = (
 
 def run_log(results: DataFrame, failures: DataFrame) -> DataFrame:
     """One JSON document with all finished and failed candidates. Both inputs
-    have one row per candidate: (model_id, slug, test_metrics) and (model_id, error)."""
+    have one row per candidate: (model_id, slug, test_metrics) and (model_id, error).
+    Further columns of the results, such as row counts and options, go with them."""
     done = results.select(
-        F.struct("model_id", "slug", "test_metrics").alias("result"),
+        F.struct("model_id", *[c for c in results.columns if c != "model_id"]).alias("result"),
         F.lit(None).cast("struct<model_id: string, error: string>").alias("failure"),
     )
     failed = failures.select(

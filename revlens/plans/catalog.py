@@ -14,6 +14,7 @@ from revlens.functions import vectors as V
 from revlens.functions.rows import each
 from revlens.operators import crossval as CV
 from revlens.operators import evaluate as E
+from revlens.operators import external as EX
 from revlens.operators import insights as I
 from revlens.operators import ml_features as MF
 from revlens.operators import prepare as P
@@ -418,6 +419,35 @@ def flatten_runs(i: Inputs) -> DataFrame:
     return I.flatten_runs(_run_log(i))
 
 
+def _external(i: Inputs) -> EX.ExternalRuns:
+    """Two of the five candidates lack logits for some rows."""
+    name = F.concat_ws("/", "feature", "model").alias("model_id")
+    logits = i.scored.select(
+        name, "row_id", F.array(F.col("score") * 4 - 2, 1 - F.col("score")).alias("logits")
+    )
+    names = [(f"{f}/{m}",) for _, f, m in FX.CANDIDATES]
+    held = S.holdout(i.prepared.select("row_id", "label"), FX.SEED)
+    models = i.spark.createDataFrame(names, "model_id string")
+    return EX.external_runs(i.scratch.table(held, "holdout"), logits, models, i.scratch)
+
+
+def external_run(i: Inputs) -> DataFrame:
+    """External models on the hold-out split, ranked by their test metrics."""
+    flat = EX.flatten(_external(i).results).withColumn("candidate_id", F.col("model_id"))
+    names = [f"{part}_{m}" for part in ("eval", "test") for m in RATES]
+    return _with_rank(_rounded(flat, *names), "test_").drop("candidate_id")
+
+
+def external_log(i: Inputs) -> DataFrame:
+    """The whole run log: rows, validation and test metrics, failures."""
+    runs = _external(i)
+    rounded = {
+        f"{part}_metrics": F.struct(*[F.round(f"{part}_metrics.{m}", 6).alias(m) for m in RATES])
+        for part in ("eval", "test")
+    }
+    return I.run_log(runs.results.withColumns(rounded), runs.failures)
+
+
 def rank_runs(i: Inputs) -> DataFrame:
     """Candidates read back from the run log, ranked by their test metrics."""
     runs = I.flatten_runs(_run_log(i)).withColumn("candidate_id", F.col("model_id"))
@@ -739,6 +769,8 @@ QUERIES: tuple[Callable[[Inputs], DataFrame], ...] = (
     run_log,
     flatten_runs,
     rank_runs,
+    external_run,
+    external_log,
     keyword_counts,
     seed_documents,
     word_counts,

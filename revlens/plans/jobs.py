@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from revlens.functions import text as X
 from revlens.operators import crossval as CV
 from revlens.operators import evaluate as E
+from revlens.operators import external as EX
 from revlens.operators import insights as I
 from revlens.operators import prepare as P
+from revlens.operators import split as S
 from revlens.operators.scoring import save_model
 from revlens.settings import CompareOptions
 from revlens.sources import readers, writers
@@ -147,6 +149,63 @@ def analyse(spark: SparkSession, rows: DataFrame, cfg: CompareConfig, scratch: S
     )
 
 
+@dataclass(frozen=True)
+class ExternalConfig:
+    """``logits``: a Parquet table (model_id, row_id, logits). ``models``: those that
+    are expected; by default all that the table has. ``settings``: what the log
+    shall say about every run, such as a model's longest input."""
+
+    prepared: str
+    logits: str
+    out: str
+    prepared_format: str = "parquet"
+    models: tuple[str, ...] = ()
+    settings: tuple[tuple[str, str], ...] = ()
+    seed: int = 42
+
+
+def external_run(spark: SparkSession, cfg: ExternalConfig) -> DataFrame:
+    """Evaluate external models on the hold-out split. Writes the run log, the
+    ranked results, the test predictions, a report for each model and the best
+    model's line; returns the ranked results. The log is written even if no model
+    has logits for all rows, which is an error."""
+    scratch = Scratch(spark)
+    source = readers.read_prepared(spark, cfg.prepared, cfg.prepared_format)
+    rows = scratch.table(readers.labelled(source).select("row_id", "text", "label"), "labelled")
+    held = scratch.table(S.holdout(rows.select("row_id", "label"), cfg.seed), "holdout")
+    logits = spark.read.parquet(cfg.logits).select("model_id", "row_id", "logits")
+    asked = (
+        spark.createDataFrame([(m,) for m in cfg.models], "model_id string")
+        if cfg.models
+        else logits.select("model_id").distinct()
+    )
+    runs = EX.external_runs(held, logits, asked, scratch)
+    # One row for each model, here and in the log.
+    results = scratch.table(runs.results, "external-results")
+    logged = results.select(
+        "model_id", "slug", *[F.lit(v).alias(k) for k, v in cfg.settings], *results.columns[2:]
+    )
+    writers.write_json(I.run_log(logged, runs.failures), f"{cfg.out}/run_log")
+    flat = EX.flatten(results).withColumn("candidate_id", F.col("model_id"))
+    ranked = E.rank_candidates(flat, "test_").drop("candidate_id")
+    best = ranked.limit(1)
+    if best.isEmpty():
+        raise RuntimeError(f"no model has logits for all rows; see {cfg.out}/run_log")
+    writers.write_report(ranked, f"{cfg.out}/results")
+    test = runs.predictions.where("split = 'test'")
+    frame = test.join(rows.select("row_id", "text"), "row_id").withColumn("slug", X.slug(F.col("model_id")))
+    writers.write_table(
+        writers.prediction_frame(frame, "slug", "row_id"), f"{cfg.out}/test_predictions", partition_by=("slug",)
+    )
+    reports = E.report_documents(E.class_report(test, "model_id"), "model_id")
+    reports = reports.select(X.slug(F.col("model_id")).alias("slug"), *[c for c in reports.columns if c != "model_id"])
+    writers.write_table(reports, f"{cfg.out}/reports", "text", ("slug",))
+    writers.write_json(
+        best.select(writers.document(*best.columns).alias("value")), f"{cfg.out}/best_metadata"
+    )
+    return ranked
+
+
 @dataclass(frozen=True)
 class RunConfig:
     prepare: PrepareConfig

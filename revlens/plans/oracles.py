@@ -593,6 +593,50 @@ def sql() -> dict[str, str]:
             roc_auc DESC NULLS LAST, accuracy DESC NULLS LAST, model_id)::INTEGER AS rank
           FROM runs WHERE roc_auc IS NOT NULL""",
     )
+    external = (
+        *_SCORED,
+        QUOTAS,
+        HOLDOUT,
+        """ext AS (SELECT feature || '/' || model AS model_id, split, row_id, label, score,
+            CASE WHEN a >= b THEN 0 ELSE 1 END AS prediction
+          FROM (SELECT feature, model, split, s.row_id, s.label, s.score * 4 - 2 AS a,
+              1 - s.score AS b, exp(1 - s.score) / (exp(s.score * 4 - 2) + exp(1 - s.score)) AS score
+            FROM scored s JOIN held USING (row_id)
+            WHERE s.score IS NOT NULL AND split <> 'train') logits)""",
+        """need AS (SELECT count(*) FILTER (split = 'train') AS train_rows,
+            count(*) FILTER (split = 'valid') AS valid_rows,
+            count(*) FILTER (split = 'test') AS test_rows FROM held)""",
+        """status AS (SELECT model_id, coalesce(n, 0) AS n, need.*, coalesce(n, 0) = valid_rows + test_rows AS whole
+          FROM (SELECT feature || '/' || model AS model_id FROM cands) CROSS JOIN need
+          LEFT JOIN (SELECT model_id, count(*) AS n FROM ext GROUP BY ALL) USING (model_id))""",
+        _cells("model_id, split", "ext"),
+        _area("model_id, split", "ext").replace("ranked", "ext_ranked"),
+        f"""parts AS (SELECT model_id, split, {_ROUNDED_RATES}, round(roc_auc, 6) AS roc_auc
+          FROM cells LEFT JOIN area USING (model_id, split))""",
+        """done AS (SELECT model_id, regexp_replace(model_id, '[^a-zA-Z0-9_.-]+', '__', 'g') AS slug,
+            train_rows, valid_rows, test_rows, """
+        + ", ".join(f"{p[0]}.{m} AS {p}_{m}" for p in ("eval", "test") for m in _METRIC_NAMES)
+        + """ FROM status JOIN parts e USING (model_id) JOIN parts t USING (model_id)
+          WHERE whole AND e.split = 'valid' AND t.split = 'test')""",
+    )
+    out["external_run"] = _with(
+        external,
+        """SELECT *, row_number() OVER (ORDER BY test_f1 DESC NULLS LAST, test_roc_auc DESC NULLS LAST,
+            test_accuracy DESC NULLS LAST, model_id)::INTEGER AS rank FROM done""",
+    )
+    pairs = {p: ", ".join(f"'{m}', {p}_{m}" for m in _METRIC_NAMES) for p in ("eval", "test")}
+    parts = ", ".join(f"'{p}_metrics', json_object({pairs[p]})" for p in pairs)
+    out["external_log"] = _with(
+        external,
+        f"""SELECT json_object(
+            'results', (SELECT to_json(list(json_object('model_id', model_id, 'slug', slug,
+               'train_rows', train_rows, 'valid_rows', valid_rows, 'test_rows', test_rows, {parts})
+               ORDER BY model_id)) FROM done),
+            'failures', (SELECT to_json(list(json_object('model_id', model_id, 'error',
+               n || ' logits for ' || n || ' of ' || (valid_rows + test_rows) || ' rows')
+               ORDER BY model_id)) FROM status WHERE NOT whole)
+          )::VARCHAR AS value""",
+    )
 
     # Insights
     totals = "(SELECT count(*) FROM prep WHERE label = {})::DOUBLE"
