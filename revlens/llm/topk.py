@@ -223,8 +223,10 @@ def top_k(
     sorted_ = stage.table(ranged.withColumn("shard", F.spark_partition_id()), "by_norm")
     turn = rotation(sorted_, width)
     head = sorted_.orderBy(F.desc("norm2"), "vec_id").limit(o.head).toPandas()
-    # One number for every shard_rows vectors.
+    # One number for each shard. The numbers are those of the tasks that wrote them,
+    # which need not be as many as asked for, nor in order.
     longest = sorted_.groupBy("shard").agg(F.max("norm2").alias("norm2")).toPandas()
+    shards = int(longest["shard"].max()) + 1
     tops = np.zeros(shards)
     tops[longest["shard"]] = np.sqrt(longest["norm2"])
     constants = spark.sparkContext.broadcast((turn, head, tops))
