@@ -1,3 +1,4 @@
+import threading
 from collections import Counter
 
 import numpy as np
@@ -151,6 +152,33 @@ def test_folds_use_training_vocabulary_only(spark, rows, scratch):
         assert {t for t in vocab if " " not in t} == {t for t, n in df.items() if n >= 2}
 
 
+def test_texts_are_counted_once_for_all_folds(spark, rows, scratch):
+    """The vectors are those of each fold's own stages, also for texts without terms."""
+    more = spark.createDataFrame([(90, "", 0), (91, "zzz qqq", 1), (91, "zzz qqq", 1)], rows.schema)
+    folded = rows.unionByName(more).withColumn("fold", (F.col("row_id") % 2 + 1).cast("int"))
+    make = CV._fold_vectorizers(folded, "tfidf", OPTIONS)
+    vectors = CV._fold_vectors(folded, "tfidf", OPTIONS, scratch)
+    for fold in (1, 2):
+        plain = make(fold).transform(folded).select("row_id", "label", "fold", "features")
+        assert Counter(map(tuple, vectors(fold).collect())) == Counter(map(tuple, plain.collect()))
+    with pytest.raises(ValueError, match="no term"):
+        CV._fold_vectors(folded.where("row_id >= 90"), "tfidf", OPTIONS, scratch)(3)
+
+
+def test_folds_run_side_by_side(rows, scratch, monkeypatch):
+    """Also those of a single candidate."""
+    meet = threading.Barrier(2, timeout=120)
+    plain = C.classifier
+
+    def waits(*args):
+        meet.wait()
+        return plain(*args)
+
+    monkeypatch.setattr(CV.C, "classifier", waits)
+    options = CompareOptions(folds=2, linear_iterations=5, features=("tfidf",), models=("logistic_regression",))
+    assert CV.compare(rows, options, scratch).predictions.count() == rows.count()
+
+
 def test_failing_candidate_is_reported(rows, scratch, monkeypatch):
     def broken(options, n):
         raise RuntimeError("boom")
