@@ -171,7 +171,10 @@ def word_cloud(
     words with nothing left disappear.
     """
     scratch = scratch or Scratch(words.sparkSession)
-    unigrams = scratch.table(word_frequencies(words), "words") if unigrams is None else unigrams
+    if unigrams is None:
+        # Tokens cost far more than reading them back for the pairs.
+        words = scratch.table(words, "content-words")
+        unigrams = scratch.table(word_frequencies(words), "words")
     strong = collocations(words, unigrams, scratch).where(F.col("score") > threshold)
     taken = F.array(
         F.struct(F.col("first").alias("term"), (-F.col("n")).alias("n")),

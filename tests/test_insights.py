@@ -126,3 +126,15 @@ def test_run_log_round_trip(spark):
     assert document["failures"] == [{"model_id": "c/d", "error": "boom"}]
     row = I.flatten_runs(log).first()
     assert (row.model_id, row.test_f1, row.test_roc_auc) == ("a/b", 0.6, None)
+
+
+def test_word_cloud_reads_its_tokens_back(spark, scratch, monkeypatch):
+    """Texts are tokenised once, for the words and for the pairs."""
+    docs = spark.createDataFrame([(1, "green leaf tea " * 3), (0, "slow queue"), (0, None)], "label int, text string")
+    seen = []
+    for name in ("word_frequencies", "collocations"):
+        plain = getattr(I, name)
+        monkeypatch.setattr(I, name, lambda words, *rest, plain=plain: (seen.append(words.inputFiles()), plain(words, *rest))[1])
+    found = {(r.label, r.term): r.n for r in I.word_cloud(I.content_words(docs, ()), scratch=scratch).collect()}
+    assert found[0, "slow"] == 1 and found[0, "queue"] == 1
+    assert len(seen) == 2 and seen[0] and set(seen[0]) == set(seen[1])
