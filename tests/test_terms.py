@@ -83,3 +83,12 @@ def test_fold_vocabularies(docs):
         assert sorted(here) == sorted(best)
         for t, idf in here.items():
             assert idf == pytest.approx(math.log((1 + len(train)) / (1 + df[t])) + 1)
+
+
+def test_only_frequent_terms_are_ranked(spark):
+    """The least tf keeps ties, and terms of other folds do not count."""
+    rows = [(1, "a", 5), (1, "b", 3), (1, "c", 3), (1, "d", 1), (2, "a", 1), (2, "b", 1)]
+    stats = spark.createDataFrame(rows, "fold int, term string, tf long")
+    least = {r.fold: r.least for r in TM._least_tf(stats, 2).collect()}
+    assert least == {1: 3, 2: 1}
+    assert {r.fold: r.least for r in TM._least_tf(stats, 4).collect()} == {1: 1, 2: 1}
