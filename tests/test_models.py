@@ -6,12 +6,14 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from revlens.functions import text as X
 from revlens.functions.vectors import vector_values
 from revlens.operators import classifiers as C
 from revlens.operators import crossval as CV
 from revlens.operators import ml_features as MF
 from revlens.operators import scoring as SC
 from revlens.operators import terms as TM
+from revlens.operators.vectors import Rows
 from revlens.settings import CompareOptions, TfidfOptions, TreeOptions, Word2VecOptions
 from tests.test_text import py_tokens
 
@@ -263,3 +265,23 @@ def test_a_restarted_comparison_goes_on(rows, scratch, monkeypatch, tmp_path):
     assert len(fits) == 20
     CV.compare(rows.where("row_id > 3"), o, scratch, str(tmp_path))
     assert len(fits) == 25
+
+
+def test_final_fit_cleans_texts_once(rows, monkeypatch):
+    asked = []
+    tokens = X.tokens
+    monkeypatch.setattr(X, "tokens", lambda *a, **k: asked.append(1) or tokens(*a, **k))
+    model = CV.fit_final(rows, "tfidf", "logistic_regression", OPTIONS)
+    assert len(asked) == 1
+    plain = MF.TfidfVectorizer(OPTIONS.tfidf).fit(rows)
+    assert model.stages[1].vocabulary == plain.stages[1].vocabulary
+    assert model.stages[2].getOrDefault("idf") == plain.stages[2].getOrDefault("idf")
+    got, want = ({r.row_id: r.features for r in m.transform(rows).collect()} for m in (model, plain))
+    assert got == want
+
+
+def test_sparse_products_with_empty_rows():
+    cells = Rows(4, np.array([1, 1, 3]), np.array([0, 2, 1]), np.array([2.0, 3.0, 5.0]))
+    assert cells.dot(np.array([1.0, 10.0, 100.0])).tolist() == [0.0, 302.0, 0.0, 50.0]
+    assert cells.dot(np.array([1.0])).tolist() == [0.0, 2.0, 0.0, 0.0]
+    assert Rows(2, *np.zeros((2, 0), int), np.zeros(0)).dot(np.ones(3)).tolist() == [0.0, 0.0]
