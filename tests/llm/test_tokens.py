@@ -2,10 +2,11 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from revlens.llm import bpe, packing
+from revlens.llm import bpe, kit, packing
 from tests_llm_prose import sentences
 
 PARTS = [" ", "  ", "\n", "\t", "a", "B", "'s", "'re", "1", "٣", "é", "日", "\xa0", "\x1c", "\x85", " ",
@@ -40,6 +41,58 @@ def test_memory_is_bounded():
     assert len(memory.new) <= 12 and len(memory.old) <= 12
 
 
+def test_pieces_are_bounded(vocabulary, library):
+    """What a worker remembers goes by characters, whatever the words, and one
+    long piece is not kept for good."""
+    own = packing.Library(vocabulary)
+    own.pieces.most = 2000
+    for k in range(40):
+        text = f"word{k} " + "".join(map(chr, (97 + (k * j) % 26 for j in range(300)))) + " the end" * 3
+        want = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == want
+        assert own.pieces.held <= 2000 + len(text)
+        assert sum(map(len, own.pieces.number)) <= own.pieces.held + 1
+        assert len(own.pieces.flat) == own.pieces.sizes.sum()
+
+
+def test_cut_gives_every_token_its_place():
+    """Pieces of stretches, as arrays: each window's part of a queue, token by token."""
+    r = random.Random(8)
+    for _ in range(20):
+        totals = [r.choice([0, 1, 3, 50, 700]) for _ in range(r.randint(1, 6))] + [5]
+        mix = packing.Mixture(totals, packing.Options(length=16, run_windows=3))
+        laid = {}
+        for queue, total in enumerate(totals):
+            at = 0
+            while at < total:
+                size = min(total - at, r.choice([1, 2, 30, 200]))
+                place, tokens, window, offset = mix.cut(queue, at, at + size)
+                assert place.tolist() == [at, *(at + np.cumsum(tokens))[:-1].tolist()]
+                assert (tokens > 0).all() and tokens.sum() == size
+                for w, o, n in zip(window.tolist(), offset.tolist(), tokens.tolist()):
+                    for k in range(n):
+                        assert laid.setdefault((w, o + k), (queue, at)) == (queue, at)
+                        at += 1
+        assert sorted(laid) == [divmod(k, 16) for k in range(sum(totals))]
+        assert mix.cut(0, 0, 0).shape == (4, 0)
+
+
+def test_batches_are_small(make_docs):
+    """Batches for Python go by bytes; the setting is as before afterwards."""
+    docs = make_docs(["x" * 1000] * 400).coalesce(1)
+    spark = docs.sparkSession
+    before = spark.conf.get(kit.BATCH_BYTES)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    with kit.small_batches(spark, 50_000):
+        got = [r.n for r in docs.select("text").mapInArrow(sizes, "n bigint").collect()]
+    assert sum(got) == 400 and max(got) < 100
+    assert spark.conf.get(kit.BATCH_BYTES) == before
+
+
 def test_encode_decode_of_odd_rows(make_docs, odd_texts, vocabulary):
     docs = make_docs(odd_texts, ids=[None, 1, 1, *range(3, len(odd_texts))])
     rows = bpe.encode_decode(docs, vocabulary).collect()
