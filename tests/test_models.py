@@ -285,3 +285,28 @@ def test_sparse_products_with_empty_rows():
     assert cells.dot(np.array([1.0, 10.0, 100.0])).tolist() == [0.0, 302.0, 0.0, 50.0]
     assert cells.dot(np.array([1.0])).tolist() == [0.0, 2.0, 0.0, 0.0]
     assert Rows(2, *np.zeros((2, 0), int), np.zeros(0)).dot(np.ones(3)).tolist() == [0.0, 0.0]
+
+
+def test_folds_hold_few_vectors_at_once(spark, rows, scratch, monkeypatch):
+    """While vectors are made, however large the table; the session is as before afterwards."""
+    names = list(CV.SMALL)
+    before = [spark.conf.get(n) for n in names]
+    seen, plain = [], C.classifier
+
+    def looks(*args):
+        seen.append([int(spark.conf.get(n)) for n in names])
+        return plain(*args)
+
+    monkeypatch.setattr(CV.C, "classifier", looks)
+    options = CompareOptions(folds=2, linear_iterations=2, features=("tfidf",), models=("logistic_regression",))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16MB")
+    try:
+        assert CV.compare(rows, options, scratch).predictions.count() == rows.count()
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "16MB"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[2])
+    assert seen and all(s == [8 << 20, 1000, 16 << 20] for s in seen)
+    assert [spark.conf.get(n) for n in names] == before
+    with pytest.raises(ValueError), CV.small_batches(spark):
+        raise ValueError
+    assert [spark.conf.get(n) for n in names] == before
