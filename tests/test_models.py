@@ -310,3 +310,21 @@ def test_folds_hold_few_vectors_at_once(spark, rows, scratch, monkeypatch):
     with pytest.raises(ValueError), CV.small_batches(spark):
         raise ValueError
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_small_batches_change_no_score(rows, scratch, monkeypatch):
+    """Two candidates over every row, as in ``cv_coverage``, with batches of a few rows."""
+    options = CompareOptions(
+        folds=2, linear_iterations=20, features=("tfidf",), models=("logistic_regression", "multinomial_nb")
+    )
+
+    def scores():
+        found = CV.compare(rows, options, scratch).predictions.select("candidate_id", "row_id", "score").collect()
+        return {(r.candidate_id, r.row_id): r.score for r in found}
+
+    want = scores()
+    small = dict(zip(CV.SMALL, (2000, 3, 4096)))
+    monkeypatch.setattr(CV, "SMALL", small)
+    got = scores()
+    assert len(want) == 2 * rows.count() and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-6, abs=1e-9) for k in want)
